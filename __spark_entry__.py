@@ -61,7 +61,7 @@ class Data:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Data:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = EV.read_events(spark, f"{sf_dir}/events.parquet")
     spikes, layout = EV.spikes_from_events(events)
     return Data(C.stamp_channel_counts(spikes, layout), EV.meta_from_events(events), layout)
 

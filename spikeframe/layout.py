@@ -20,6 +20,7 @@ a whole analysis.
 from __future__ import annotations
 
 import math
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1 << 22
 BROADCAST_ROWS = 1_000_000
+FEW_KEYS = 10_000
 MAX_HOT = 4096
 SLICES_PER_SHARE = 16
 
@@ -42,6 +44,23 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the checkpoint folder of the cluster.
+
+    A local session without such a folder gets a temporary one. On a cluster
+    without one the table stays lazy: slower, with the same result.
+    """
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = table.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                return table
+            folder = tempfile.mkdtemp(prefix="spikeframe-")
+        context.setCheckpointDir(folder)
+    return table.checkpoint()
+
+
 @dataclass(frozen=True)
 class Slicing:
     """The keys of a table and, for the heavy ones, where their time axis is cut."""
@@ -49,7 +68,7 @@ class Slicing:
     keys: tuple[str, ...]
     column: str
     count: int  # number of keys
-    hot: DataFrame | None = None  # keys, _lo, _step, _parts; at most MAX_HOT rows
+    hot: DataFrame | None = None  # keys, _lo, _step, _cuts; at most MAX_HOT rows
 
     @classmethod
     def measure(cls, df: DataFrame, keys: list[str], position: str, column: str) -> Slicing:
@@ -75,7 +94,7 @@ class Slicing:
         if not cuts:
             return cls(tuple(keys), column, count)
         key_types = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
-        hot = spark.createDataFrame(cuts, f"{key_types}, _lo double, _step double, _parts int")
+        hot = spark.createDataFrame(cuts, f"{key_types}, _lo double, _step double, _cuts int")
         return cls(tuple(keys), column, count, hot)
 
     # ---- slices -------------------------------------------------------------
@@ -90,11 +109,11 @@ class Slicing:
         if self.hot is None or self.column in df.columns:
             return df
         part = F.floor((F.col(position) - F.col("_lo")) / F.col("_step")).cast("int")
-        part = F.greatest(F.lit(0), F.least(part, F.col("_parts") - 1))
+        part = F.greatest(F.lit(0), F.least(part, F.col("_cuts") - 1))
         return (
             df.join(F.broadcast(self.hot), [*self.keys], "left")
-            .withColumn(self.column, F.when(F.col("_parts").isNull() | F.col(position).isNull(), 0).otherwise(part))
-            .drop("_lo", "_step", "_parts")
+            .withColumn(self.column, F.when(F.col("_cuts").isNull() | F.col(position).isNull(), 0).otherwise(part))
+            .drop("_lo", "_step", "_cuts")
         )
 
     def window(self, *order: str) -> WindowSpec:
@@ -103,9 +122,14 @@ class Slicing:
     def only_hot(self, df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(self.hot.select(*self.keys)), [*self.keys], "left_semi")
 
-    def _per_slice(self, df: DataFrame, value: Column) -> DataFrame:
-        """One row per slice of a cut key; the aggregation is partial on the map side."""
-        return self.only_hot(df).groupBy(*self.group).agg(value.alias("_value"))
+    def _carry(self, df: DataFrame, value: Column, over: WindowSpec, total) -> DataFrame:
+        """One row per slice of a cut key with what it takes over from its neighbours.
+
+        The aggregation is partial on the map side. The result is kept, or else
+        every ordered step would compute all steps before it twice.
+        """
+        per_slice = self.only_hot(df).groupBy(*self.group).agg(value.alias("_value"))
+        return kept(per_slice.select(*self.group, total("_value").over(over).alias("_carry")))
 
     def _attach(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         return df.join(F.broadcast(carry), self.group, "left")
@@ -126,8 +150,7 @@ class Slicing:
         out = df.withColumn(name, F.sum(value).over(frame))
         if self.hot is None:
             return out
-        carry = self._per_slice(df, F.sum(value)).select(
-            *self.group, F.sum("_value").over(self._earlier()).alias("_carry"))
+        carry = self._carry(df, F.sum(value), self._earlier(), F.sum)
         return (
             self._attach(out, carry)
             .withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0)))
@@ -139,8 +162,7 @@ class Slicing:
         out = df.withColumn(name, F.lag(value).over(self.window(*order)))
         if self.hot is None:
             return out
-        carry = self._per_slice(df, F.max(value)).select(
-            *self.group, F.max("_value").over(self._earlier()).alias("_carry"))
+        carry = self._carry(df, F.max(value), self._earlier(), F.max)
         return (
             self._attach(out, carry)
             .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
@@ -152,8 +174,7 @@ class Slicing:
         out = df.withColumn(name, F.lead(value).over(self.window(*order)))
         if self.hot is None:
             return out
-        carry = self._per_slice(df, F.min(value)).select(
-            *self.group, F.min("_value").over(self._later()).alias("_carry"))
+        carry = self._carry(df, F.min(value), self._later(), F.min)
         return (
             self._attach(out, carry)
             .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
@@ -166,22 +187,28 @@ class Slicing:
         """Join a table that has at most one row per key.
 
         `bounded` says that the table only has keys of the measured table, so
-        their counted number decides on the broadcast. For any other table the
-        choice is Spark's, by its own size estimate. Where the join shuffles,
-        rows of a heavy key are spread over salts and its table row is repeated.
+        their counted number decides on the broadcast. Any other table is counted,
+        unless the measured one has so few keys that Spark's own size estimate
+        will do. Where the join shuffles, rows of a heavy key are spread over
+        salts and its table row is repeated.
         """
         on = [*self.keys]
-        if bounded and self.count <= broadcast_rows(df.sparkSession):
+        limit = broadcast_rows(df.sparkSession)
+        if bounded:
+            small = self.count <= limit
+        else:
+            small = (self.hot is not None or self.count > FEW_KEYS) and table.limit(limit + 1).count() <= limit
+        if small:
             return df.join(F.broadcast(table), on, how)
         if self.hot is None:
             return df.join(table, on, how)
-        parts = F.broadcast(self.hot.select(*on, "_parts"))
-        salt = F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int")
-        left = df.join(parts, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_parts")
+        parts = F.broadcast(self.hot.select(*on, "_cuts"))
+        salt = F.pmod(F.xxhash64(*df.columns), F.col("_cuts")).cast("int")
+        left = df.join(parts, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_cuts")
         right = (
             table.join(parts, on, "left")
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
-            .drop("_parts")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_cuts"), F.lit(1)) - 1)))
+            .drop("_cuts")
         )
         return left.join(right, [*on, "_salt"], how).drop("_salt")
 
@@ -195,27 +222,24 @@ class Layout:
 
     @classmethod
     def measure(cls, spikes: DataFrame, position: str = "s") -> Layout:
-        counts = _counts(spikes, ["fileName", "channel_id"], position)
-        files = counts.groupBy("fileName").agg(
-            F.count("*").alias("channels"),
-            F.max("_n").alias("peak_channel"),
-            F.sum("_n").alias("_n"),
-            F.min("_lo").alias("_lo"),
-            F.max("_hi").alias("_hi"),
-        )
+        files = _counts(spikes, ["fileName"], position, F.size(F.collect_set("channel_id")).alias("channels"))
         head = files.agg(
             F.count("*").alias("files"),
             F.coalesce(F.sum("channels"), F.lit(0)).alias("channels"),
-            F.max("_n").alias("peak_file"),
-            F.max("peak_channel").alias("peak_channel"),
+            F.max("_n").alias("peak"),
         ).first()
-        return cls(
-            Slicing._cut(files, ["fileName"], "recording_slice", head["files"], head["peak_file"]),
-            Slicing._cut(counts, ["fileName", "channel_id"], "slice", head["channels"], head["peak_channel"]),
-        )
+        recordings = Slicing._cut(files, ["fileName"], "recording_slice", head["files"], head["peak"])
+        keys = ["fileName", "channel_id"]
+        if head["peak"] is None or head["peak"] <= rows_per_slice(spikes.sparkSession):
+            # No channel has more rows than its recording.
+            return cls(recordings, Slicing(tuple(keys), "slice", head["channels"]))
+        counts = _counts(spikes, keys, position)
+        peak = counts.agg(F.max("_n")).first()[0]
+        return cls(recordings, Slicing._cut(counts, keys, "slice", head["channels"], peak))
 
 
-def _counts(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+def _counts(df: DataFrame, keys: list[str], position: str, *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
+        *more,
         F.count("*").alias("_n"), F.min(F.col(position).cast("double")).alias("_lo"),
         F.max(F.col(position).cast("double")).alias("_hi"))

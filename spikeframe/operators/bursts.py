@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..layout import Layout
+from ..layout import Layout, kept
 
 ORDER = ("s", "seq")
 BURST_COLUMNS = [f.name for f in schemas.BURSTS.fields]
@@ -100,7 +100,7 @@ def label_spikes(
             .where(F.col("_from") < F.col("_to"))
             .drop("_from", "_to")
         )
-        sized = sized.join(F.broadcast(crossing), [*channels.keys, "run"], "left")
+        sized = sized.join(F.broadcast(kept(crossing)), [*channels.keys, "run"], "left")
         sized = sized.withColumns({name: F.coalesce(F.col(f"{name}_all"), F.col(name)) for name in size})
 
     burst = (F.col("_n") >= spikes_per_burst) & (F.col("_short") > 0)

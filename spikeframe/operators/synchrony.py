@@ -89,16 +89,21 @@ def _spike_bins(spikes: DataFrame, layout: Layout, window: float, min_prop: floa
             F.count("*").alias("spikes_n"),
             F.size(F.collect_set("channel_id")).alias("channels_n"),
             F.min("s").alias("start_s"),
+            F.max("s").alias("end_s"),
         )
         .where((F.col("channels_n") > 1) & (F.col("channels_n") >= F.lit(float(min_prop)) * F.col("activeChannels")))
     )
 
 
+def _spike_events(spikes: DataFrame, layout: Layout, window: float, min_prop: float) -> DataFrame:
+    return _numbered(_spike_bins(spikes, layout, window, min_prop), layout, "syncspike_id", "start_s")
+
+
 def sync_spike_events(
     spikes: DataFrame, layout: Layout, window: float = 0.010, min_prop_involved: float = 0.01,
 ) -> DataFrame:
     """Bins with spikes on several channels and on enough of the active ones."""
-    return _numbered(_spike_bins(spikes, layout, window, min_prop_involved), layout, "syncspike_id", "start_s").select(
+    return _spike_events(spikes, layout, window, min_prop_involved).select(
         "fileName", "window_bin", "syncspike_id", "spikes_n", "channels_n")
 
 
@@ -106,12 +111,19 @@ def label_sync_spikes(
     spikes: DataFrame, layout: Layout, window: float = 0.010, min_prop_involved: float = 0.01,
 ) -> DataFrame:
     """Add `window_bin` and `syncspike_id` to every spike."""
-    events = sync_spike_events(spikes, layout, window, min_prop_involved)
-    return (
-        bin_times(spikes, layout, "s", window)
-        .join(events.select("fileName", "window_bin", "syncspike_id"), ["fileName", "window_bin"], "left")
-        .select(*spikes.columns, "window_bin", "syncspike_id")
-    )
+    recordings = layout.recordings
+    on = ["fileName", "window_bin"]
+    binned = bin_times(spikes, layout, "s", window)
+    events = _spike_events(spikes, layout, window, min_prop_involved)
+    labels = events.select(*on, "syncspike_id")
+    if recordings.hot is not None:
+        # A bin of a heavy recording may be wide: join it slice by slice.
+        part = recordings.column
+        ends = recordings.split(events.withColumnRenamed(part, "_from"), "end_s").withColumnRenamed(part, "_to")
+        labels = ends.select(*on, "syncspike_id", F.explode(F.sequence("_from", "_to")).alias(part))
+        binned = recordings.split(binned, "s")
+        on = [*on, part]
+    return binned.join(labels, on, "left").select(*spikes.columns, "window_bin", "syncspike_id")
 
 
 def sync_spike_features(

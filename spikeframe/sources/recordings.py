@@ -53,30 +53,33 @@ def parse_lines(lines: DataFrame, decimal: str = ".") -> DataFrame:
     `lines` has file, block, line and value; within a file, block and line give
     the order, and `block` grows by at least the number of lines per block.
     """
-    fields = F.split(F.regexp_replace("value", r"\t$", ""), "\t")
-    is_channel = F.col("value").startswith(CHANNEL_LINE)
+    value = F.col("value")
+    one_tab_less = value.substr(F.lit(1), F.length(value) - value.endswith("\t").cast("int"))
+    fields = F.split(one_tab_less, "\t")
+    is_channel = value.startswith(CHANNEL_LINE)
+    ends = F.rtrim(value).isin(*END_LINES)
     parsed = lines.select(
         "file", "block", "line",
+        # Only lines that can hold a marker or a time go on, as numbers, into the shuffle.
+        (is_channel | ends | value.rlike(r"^\s*[-+.,0-9]")).alias("used"),
         F.when(is_channel, F.trim(F.try_element_at(fields, F.lit(2))).try_cast("int")).alias("channel_line"),
-        F.rtrim("value").isin(*END_LINES).alias("ends"),
+        ends.alias("ends"),
         F.when(~is_channel & (F.size(fields) == 3), F.transform(fields, lambda f: _number(f, decimal))).alias("row"),
     ).select(
-        "file", "block", "line", "channel_line", "ends",
+        "file", "block", "line", "used", "channel_line", "ends",
         F.col("row")[0].alias("s"), F.col("row")[1].alias("isi"), F.col("row")[2].alias("frequency"),
     )
-    # Only numbers and markers travel through the shuffle.
-    parsed = parsed.where(F.col("channel_line").isNotNull() | F.col("ends") | F.col("s").isNotNull())
-
     # A split has at most spark.sql.files.maxPartitionBytes of text.
     split = Window.partitionBy("file", "block").orderBy("line")
     here = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = parsed.withColumns({
+    placed = parsed.where("used").withColumns({
         "channel_here": F.last("channel_line", ignorenulls=True).over(here),
         "ended_here": F.max("ends").over(here),
         "number": F.row_number().over(split),
     })
 
-    # What a split takes over from those before it: one row per split.
+    # What a split takes over from those before it: one row per split, out of a
+    # scan that looks at the start of each line and converts no number.
     blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at_end = parsed.groupBy("file", "block").agg(
         F.max_by("channel_line", F.when(F.col("channel_line").isNotNull(), F.col("line"))).alias("last_channel"),
