@@ -75,4 +75,5 @@ def kolmogorov_p_value(d: Column, n: Column, m: Column) -> Column:
     odd = series(20, lambda k: F.exp(-((2 * k - 1) * (2 * k - 1)) * F.lit(9.869604401089358) / (8.0 * z * z)))
     near = 1.0 - F.lit(2.5066282746310002) / z * odd
     p = F.when(z <= 0, 1.0).when(z < 1, near).otherwise(far)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    # greatest and least leave a missing value out.
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))

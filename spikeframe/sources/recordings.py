@@ -40,6 +40,11 @@ def _base_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\.txt$", "")
 
 
+def _decoded(name: Column) -> Column:
+    """File names come with % codes, but with a plain + sign."""
+    return F.when(name.contains("%"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+
+
 def _number(text: Column, decimal: str) -> Column:
     if decimal != ".":
         text = F.replace(text, F.lit(decimal), F.lit("."))
@@ -108,7 +113,7 @@ def stamp_recordings(parsed: DataFrame, meta: DataFrame, region: bool = False) -
     """
     columns = ["genotype", "maxRecording"] + (["region"] if region else [])
     listed = meta.select(_base_name(F.col("fileName")).alias("_file"), "fileName", *columns)
-    named = parsed.withColumn("_file", _base_name(F.col("file")))
+    named = parsed.withColumn("_file", _base_name(_decoded(F.col("file"))))
     # The metadata table is read from a file, so Spark knows its size.
     return named.join(listed, "_file").drop("_file", "file")
 
