@@ -255,5 +255,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """bi_summary and ks_test_exact have none: SQL has no Student distribution and no path count."""
+    """One statement per registered query."""
     return oracle_queries.statements()

@@ -389,6 +389,14 @@ means AS (SELECT fileName, j, avg(isi) AS mean FROM placed GROUP BY ALL)"""),
                                    dense, *summary, NORM, LONG, GROUPED),
         "welch_t": _sql(f"SELECT variable, {_rounded('WT_mean', 'WT_sem', 'GM_mean', 'GM_sem', 't', 'df', digits=5)} FROM welch",
                         dense, *summary, NORM, LONG, WELCH),
+        # The p-value by Simpson's rule over the density of the Student distribution.
+        "bi_summary": _sql(f"""
+SELECT variable AS Variable, {_rounded('WT_mean', 'WT_sem', 'GM_mean', 'GM_sem')}, round(t, 2) AS T_stat,
+       round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * t / 12000
+         * list_sum(list_transform(range(0, 4001), lambda i:
+             (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+             * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2))), 4) AS P_value
+FROM welch""", dense, *summary, NORM, LONG, WELCH),
         "multi_summary": _sql("SELECT variable, " + ", ".join(
             f"round(max(mean) FILTER (genotype = '{g}'), 6) AS {g}_mean, round(max(sem) FILTER (genotype = '{g}'), 6) AS {g}_sem, "
             f"max(n) FILTER (genotype = '{g}') AS {g}_n" for g in ("WT", "KO")) + " FROM grouped GROUP BY variable",
@@ -411,6 +419,22 @@ SELECT pair, n, m, round(D, 6) AS D, round(greatest(0, least(1,
        2 * list_sum(list_transform(range(1, 201), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)
            * exp(-2.0 * k * k * D * D * CAST(n AS DOUBLE) * m / (n + m)))))), 6) AS p_value
 FROM ks""", _channel_hz("spikes"), KS),
+        # All orders of the pooled sample, as shares of ways that stayed below D so far.
+        "ks_test_exact": _sql("""
+SELECT pair, n, m, round(D, 6) AS D,
+       round(1 - (SELECT sum(mass) FROM walk, ks k2 WHERE walk.k = k2.n + k2.m), 6) AS p_value FROM ks""",
+                              _channel_hz("spikes"), KS, """
+ends AS (
+  SELECT CAST(sum(count(*)) OVER (ORDER BY Hz) AS BIGINT) AS k FROM hz GROUP BY Hz),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i, CAST(1 AS DOUBLE) AS mass
+  UNION ALL
+  SELECT k, i, sum(mass) FROM (
+    SELECT w.k + 1 AS k, w.i + step AS i, n, m, D,
+           w.mass * (CASE WHEN step = 1 THEN n - w.i ELSE m - w.k + w.i END) / CAST(n + m - w.k AS DOUBLE) AS mass
+    FROM walk w, ks, (VALUES (0), (1)) v(step) WHERE w.k < n + m)
+  WHERE mass > 0 AND NOT (k IN (SELECT k FROM ends) AND abs(i * m - (k - i) * n) >= round(D * n * m))
+  GROUP BY k, i)""").replace("WITH", "WITH RECURSIVE", 1),
         # similarity
         "channel_similarity": _sql(f"SELECT fileName, ref_channel, comp_channel, {_rounded('value', digits=3)} FROM similarity",
                                    _similarity("spikes", "s")),
