@@ -85,6 +85,8 @@ class Slicing:
             return cls(tuple(keys), column, count)
         # The MAX_HOT largest keys; any other key has fewer rows than each of them.
         rows = counts.where(F.col("_n") > limit).orderBy(F.desc("_n"), *keys).limit(MAX_HOT).collect()
+        if not rows:
+            return cls(tuple(keys), column, count)
         share = max(limit, sum(r["_n"] for r in rows) / MAX_HOT)
         cuts = []
         for r in rows:
@@ -99,28 +101,47 @@ class Slicing:
 
     # ---- slices -------------------------------------------------------------
 
+    @property
+    def marker(self) -> list[str]:
+        """Name of the column that is true for cut keys, if any key is cut.
+
+        It is part of every window and grouping on the way, so that a filter on
+        it moves down to the scan and a carry table only costs the cut keys.
+        """
+        return [] if self.hot is None else [f"{self.column}_cut"]
+
     @property
     def group(self) -> list[str]:
         """Columns whose combination is small enough for one task."""
-        return [*self.keys] if self.hot is None else [*self.keys, self.column]
+        return [*self.keys] if self.hot is None else [*self.keys, *self.marker, self.column]
 
     def split(self, df: DataFrame, position: str) -> DataFrame:
-        """Add the slice column. It never decreases along `position` within a key."""
+        """Add the slice and the marker. The slice never decreases along `position` within a key."""
         if self.hot is None or self.column in df.columns:
             return df
         part = F.floor((F.col(position) - F.col("_lo")) / F.col("_step")).cast("int")
         part = F.greatest(F.lit(0), F.least(part, F.col("_cuts") - 1))
-        return (
-            df.join(F.broadcast(self.hot), [*self.keys], "left")
-            .withColumn(self.column, F.when(F.col("_cuts").isNull() | F.col(position).isNull(), 0).otherwise(part))
-            .drop("_lo", "_step", "_cuts")
-        )
+        cut = F.col("_cuts").isNotNull()
+        out = df.join(F.broadcast(self.hot), [*self.keys], "left").withColumn(
+            self.column, F.when(cut & F.col(position).isNotNull(), part).otherwise(0))
+        if self.marker[0] not in df.columns:
+            out = out.withColumn(self.marker[0], cut)
+        return out.drop("_lo", "_step", "_cuts")
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Add the marker alone, ahead of an aggregation whose result will be split."""
+        if self.hot is None or self.marker[0] in df.columns:
+            return df
+        marks = self.hot.select(*self.keys, F.lit(True).alias("_cut"))
+        marked = df.join(F.broadcast(marks), [*self.keys], "left")
+        return marked.withColumn(self.marker[0], F.col("_cut").isNotNull()).drop("_cut")
 
     def window(self, *order: str) -> WindowSpec:
         return Window.partitionBy(*self.group).orderBy(*order)
 
     def only_hot(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.hot.select(*self.keys)), [*self.keys], "left_semi")
+        """Rows of the cut keys of a table that was split."""
+        return df.where(F.col(self.marker[0]))
 
     def _carry(self, df: DataFrame, value: Column, over: WindowSpec, total) -> DataFrame:
         """One row per slice of a cut key with what it takes over from its neighbours.
@@ -233,9 +254,10 @@ class Layout:
         if head["peak"] is None or head["peak"] <= rows_per_slice(spikes.sparkSession):
             # No channel has more rows than its recording.
             return cls(recordings, Slicing(tuple(keys), "slice", head["channels"]))
-        counts = _counts(spikes, keys, position)
-        peak = counts.agg(F.max("_n")).first()[0]
-        return cls(recordings, Slicing._cut(counts, keys, "slice", head["channels"], peak))
+        # Only a recording above the limit can have a channel above it.
+        heavy = spikes if recordings.hot is None else recordings.only_hot(recordings.mark(spikes))
+        counts = _counts(heavy, keys, position)
+        return cls(recordings, Slicing._cut(counts, keys, "slice", head["channels"], head["peak"]))
 
 
 def _counts(df: DataFrame, keys: list[str], position: str, *more: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 A spike is flagged if its interval to the spike before is above 0 and below the
 threshold. Every spike without the flag opens a run, which is that spike and
 the flagged ones after it, so a run holds the spike before its first short
-interval. The first spike of a channel always opens one.
+interval. Flagged spikes at the very start of a channel are a run of their own.
 """
 
 from __future__ import annotations
@@ -25,13 +25,10 @@ def flag_isi(spikes: DataFrame, isi_threshold: float = 50) -> DataFrame:
 
 
 def spike_runs(spikes: DataFrame, layout: Layout, isi_threshold: float = 50) -> DataFrame:
-    """Add `isiThreshold`, `opens` and `run`, the running number of the run in its channel."""
+    """Add `isiThreshold` and `run`, the running number of the run in its channel."""
     channels = layout.channels
     flagged = flag_isi(channels.split(spikes, "s"), isi_threshold)
-    flagged = channels.previous(flagged, "_before", "s", *ORDER)
-    opens = ~F.col("isiThreshold") | F.col("_before").isNull()
-    flagged = flagged.withColumn("opens", opens).drop("_before")
-    return channels.running_sum(flagged, "run", F.col("opens").cast("long"), *ORDER)
+    return channels.running_sum(flagged, "run", (~F.col("isiThreshold")).cast("long"), *ORDER)
 
 
 def find_bursts(
@@ -47,7 +44,7 @@ def find_bursts(
     members = runs.withColumn("_goes_on", goes_on).where(F.col("isiThreshold") | F.col("_goes_on"))
     short = F.when(F.col("isiThreshold"), F.col("isi"))
     bursts = (
-        members.groupBy(*schemas.RECORDING, "channel_id", "run")
+        members.groupBy(*schemas.RECORDING, "channel_id", *channels.marker, "run")
         .agg(
             F.count("*").alias("spike_count"),
             F.count(short).alias("_short"),
@@ -76,18 +73,19 @@ def label_spikes(
     """
     channels = layout.channels
     runs = spike_runs(spikes, layout, isi_threshold)
-    # Ordered by run first, so that these windows share one sort with the numbering.
-    whole = (
-        Window.partitionBy(*channels.group, "run").orderBy(*ORDER)
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
+    # These windows share one sort with the numbering, which is ordered by run first.
+    run = Window.partitionBy(*channels.group, "run").orderBy(*ORDER)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     size = {
         "_n": F.count("*"),
         "_short": F.count(F.when(F.col("isiThreshold"), True)),
         "_first": F.min("s"),
         "_last": F.max("s"),
     }
-    sized = runs.withColumns({name: value.over(whole) for name, value in size.items()})
+    sized = runs.withColumns({
+        "_starts": F.row_number().over(run) == 1,
+        **{name: value.over(whole) for name, value in size.items()},
+    })
     if channels.hot is not None:
         # Runs that cross a cut: at most one per slice, so the table stays small.
         crossing = (
@@ -98,16 +96,18 @@ def label_spikes(
                 F.min(channels.column).alias("_from"), F.max(channels.column).alias("_to"),
             )
             .where(F.col("_from") < F.col("_to"))
-            .drop("_from", "_to")
         )
         sized = sized.join(F.broadcast(kept(crossing)), [*channels.keys, "run"], "left")
-        sized = sized.withColumns({name: F.coalesce(F.col(f"{name}_all"), F.col(name)) for name in size})
+        sized = sized.withColumns({
+            "_starts": F.col("_starts") & F.coalesce(F.col(channels.column) == F.col("_from"), F.lit(True)),
+            **{name: F.coalesce(F.col(f"{name}_all"), F.col(name)) for name in size},
+        })
 
     burst = (F.col("_n") >= spikes_per_burst) & (F.col("_short") > 0)
     if burst_duration_max is not None:
         burst = burst & (F.col("_last") - F.col("_first") < burst_duration_max)
     sized = sized.withColumn("_burst", burst)
-    starts = (F.col("_burst") & F.col("opens")).cast("int")
+    starts = (F.col("_burst") & F.col("_starts")).cast("int")
     numbered = channels.running_sum(sized, "_number", starts, "run", *ORDER)
     return numbered.withColumn("burst_id", F.when(F.col("_burst"), F.col("_number").cast("int"))).select(
         *spikes.columns, "isiThreshold", "burst_id")

@@ -50,7 +50,7 @@ def _neighbours(points: DataFrame, layout: Layout) -> DataFrame:
         "fileName", "channel_id", F.col("last").alias("t"), F.explode(F.sequence(F.col(part) + 1, up_to)).alias(part))
     before = ends.where(down_to < F.col(part)).select(
         "fileName", "channel_id", F.col("first").alias("t"), F.explode(F.sequence(down_to, F.col(part) - 1)).alias(part))
-    return after.unionByName(before).withColumn("own", F.lit(False))
+    return after.unionByName(before).withColumns({"own": F.lit(False), recordings.marker[0]: F.lit(True)})
 
 
 def _nearest():

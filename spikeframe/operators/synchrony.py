@@ -32,8 +32,8 @@ def _numbered(events: DataFrame, layout: Layout, name: str, position: str) -> Da
 def sync_burst_events(bursts: DataFrame, layout: Layout, window: float = 0.050) -> DataFrame:
     """Bins with more than one burst, also if all are on one channel."""
     events = (
-        bin_times(bursts, layout, "start_time_s", window)
-        .groupBy("fileName", "genotype", "window_bin")
+        layout.recordings.mark(bin_times(bursts, layout, "start_time_s", window))
+        .groupBy("fileName", "genotype", *layout.recordings.marker, "window_bin")
         .agg(
             F.count("*").alias("bursts_n"),
             F.size(F.collect_set("channel_id")).alias("channels_n"),
@@ -83,8 +83,8 @@ def sync_burst_features(summary: DataFrame, bursts: DataFrame, layout: Layout, w
 
 def _spike_bins(spikes: DataFrame, layout: Layout, window: float, min_prop: float) -> DataFrame:
     return (
-        bin_times(spikes, layout, "s", window)
-        .groupBy("fileName", "activeChannels", "window_bin")
+        layout.recordings.mark(bin_times(spikes, layout, "s", window))
+        .groupBy("fileName", "activeChannels", *layout.recordings.marker, "window_bin")
         .agg(
             F.count("*").alias("spikes_n"),
             F.size(F.collect_set("channel_id")).alias("channels_n"),
