@@ -29,8 +29,22 @@ def _numbered(events: DataFrame, layout: Layout, name: str, position: str) -> Da
     return recordings.running_sum(events, name, F.lit(1), "window_bin").withColumn(name, F.col(name).cast("int"))
 
 
-def sync_burst_events(bursts: DataFrame, layout: Layout, window: float = 0.050) -> DataFrame:
-    """Bins with more than one burst, also if all are on one channel."""
+def _join_numbers(binned: DataFrame, events: DataFrame, layout: Layout, name: str, time: str) -> DataFrame:
+    """Give rows the number of the event in their bin; NULL in bins without one."""
+    recordings = layout.recordings
+    on = ["fileName", "window_bin"]
+    labels = events.select(*on, name)
+    if recordings.hot is not None:
+        # A bin of a heavy recording may be wide: join it slice by slice.
+        part = recordings.column
+        ends = recordings.split(events.withColumnRenamed(part, "_from"), "last_s").withColumnRenamed(part, "_to")
+        labels = ends.select(*on, name, F.explode(F.sequence("_from", "_to")).alias(part))
+        binned = recordings.split(binned, time)
+        on = [*on, part]
+    return binned.join(labels, on, "left")
+
+
+def _burst_events(bursts: DataFrame, layout: Layout, window: float) -> DataFrame:
     events = (
         layout.recordings.mark(bin_times(bursts, layout, "start_time_s", window))
         .groupBy("fileName", "genotype", *layout.recordings.marker, "window_bin")
@@ -38,21 +52,28 @@ def sync_burst_events(bursts: DataFrame, layout: Layout, window: float = 0.050)
             F.count("*").alias("bursts_n"),
             F.size(F.collect_set("channel_id")).alias("channels_n"),
             F.min("start_time_s").alias("start_s"),
+            F.max("start_time_s").alias("last_s"),
             # End of the burst that starts last.
             F.max_by("end_time_s", F.struct("start_time_s", "channel_id")).alias("end_s"),
             F.sum("spike_count").alias("spikes_n"),
         )
         .where(F.col("bursts_n") > 1)
     )
-    return _numbered(events, layout, "syncburst_id", "start_s").select(
+    return _numbered(events, layout, "syncburst_id", "start_s")
+
+
+def sync_burst_events(bursts: DataFrame, layout: Layout, window: float = 0.050) -> DataFrame:
+    """Bins with more than one burst, also if all are on one channel."""
+    return _burst_events(bursts, layout, window).select(
         "fileName", "genotype", "window_bin", "syncburst_id", "bursts_n", "channels_n",
         "start_s", "end_s", "spikes_n")
 
 
 def label_sync_bursts(bursts: DataFrame, layout: Layout, window: float = 0.050) -> DataFrame:
     """Add `window_bin` and `syncburst_id` to every burst."""
-    events = sync_burst_events(bursts, layout, window).select("fileName", "window_bin", "syncburst_id")
-    return bin_times(bursts, layout, "start_time_s", window).join(events, ["fileName", "window_bin"], "left").select(
+    binned = bin_times(bursts, layout, "start_time_s", window)
+    events = _burst_events(bursts, layout, window)
+    return _join_numbers(binned, events, layout, "syncburst_id", "start_time_s").select(
         *bursts.columns, "window_bin", "syncburst_id")
 
 
@@ -89,7 +110,7 @@ def _spike_bins(spikes: DataFrame, layout: Layout, window: float, min_prop: floa
             F.count("*").alias("spikes_n"),
             F.size(F.collect_set("channel_id")).alias("channels_n"),
             F.min("s").alias("start_s"),
-            F.max("s").alias("end_s"),
+            F.max("s").alias("last_s"),
         )
         .where((F.col("channels_n") > 1) & (F.col("channels_n") >= F.lit(float(min_prop)) * F.col("activeChannels")))
     )
@@ -111,19 +132,10 @@ def label_sync_spikes(
     spikes: DataFrame, layout: Layout, window: float = 0.010, min_prop_involved: float = 0.01,
 ) -> DataFrame:
     """Add `window_bin` and `syncspike_id` to every spike."""
-    recordings = layout.recordings
-    on = ["fileName", "window_bin"]
     binned = bin_times(spikes, layout, "s", window)
     events = _spike_events(spikes, layout, window, min_prop_involved)
-    labels = events.select(*on, "syncspike_id")
-    if recordings.hot is not None:
-        # A bin of a heavy recording may be wide: join it slice by slice.
-        part = recordings.column
-        ends = recordings.split(events.withColumnRenamed(part, "_from"), "end_s").withColumnRenamed(part, "_to")
-        labels = ends.select(*on, "syncspike_id", F.explode(F.sequence("_from", "_to")).alias(part))
-        binned = recordings.split(binned, "s")
-        on = [*on, part]
-    return binned.join(labels, on, "left").select(*spikes.columns, "window_bin", "syncspike_id")
+    return _join_numbers(binned, events, layout, "syncspike_id", "s").select(
+        *spikes.columns, "window_bin", "syncspike_id")
 
 
 def sync_spike_features(
