@@ -6,6 +6,7 @@ Doubles are rounded at the very end, so that both engines print the same digits.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -26,6 +27,12 @@ from spikeframe.operators import (  # noqa: E402
 from spikeframe.plans import analysis as A  # noqa: E402
 from spikeframe.sources import events as EV, metadata as M, recordings as R, snapshots as N  # noqa: E402
 
+# The text operators and their pipeline can be taken out of the repository as a whole.
+WITH_TEXT = all(importlib.util.find_spec(name) is not None for name in ("spikeframe.llm", "corpus_pipeline"))
+if WITH_TEXT:
+    import corpus_pipeline
+    from spikeframe.llm import queries as text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 DENSE, SPARSE = 2500, 1000  # ms: bursts in every recording, bursts in some
 SPIKES = [f.name for f in schemas.SPIKES.fields]
@@ -155,7 +162,7 @@ def queries() -> dict[str, Query]:
     spike_key = ["fileName", "channel_id", "seq"]
     sync = schemas.SYNCBURST_FEATURES
     all_features = [*RECORDING, *schemas.SPIKE_FEATURES, *schemas.BURST_FEATURES]
-    return {
+    registered = {
         # sources
         "meta_scan": _query(lambda d: d.meta),
         "meta_tidy": _query(_tidy),
@@ -252,8 +259,16 @@ def queries() -> dict[str, Query]:
         # the whole way from spikes to a normalised summary
         "analysis_summary": _query(_analysis),
     }
+    if WITH_TEXT:
+        registered |= {**text_queries.queries(), "pipeline": corpus_pipeline.run}
+    return registered
 
 
 def oracle_sql() -> dict[str, str]:
-    """One statement per registered query."""
-    return oracle_queries.statements()
+    """One statement for each registered query that SQL can express."""
+    statements = oracle_queries.statements()
+    if WITH_TEXT:
+        statements |= text_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
