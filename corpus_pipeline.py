@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, mixing, quality_rules
+from spikeframe.llm import line_dedup, mixing, packing, quality_rules, simhash
 from spikeframe.llm.common import kept
 
 
@@ -24,17 +24,31 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest id, of each group of near duplicates."""
+    return simhash.near_dedup(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for."""
     return mixing.mix(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, a document as often as it is in the mix, in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(packing.MODEL))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
     ("mixing", mixture),
+    ("packing", pack),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # fingerprints and packing are beyond SQL; tests hold each stage against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,30 @@ def global_rank(table: DataFrame, name: str, *order: Column) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (parts.withColumn("_row", within).join(F.broadcast(offsets), "_part")
             .withColumn(name, F.col("_row") + F.col("_offset") - 1).drop("_part", "_row", "_offset"))
+
+
+def word_chunks(data: bytes, chunk: int = 1 << 20):
+    """The words of a text (UTF-8), as lists of bounded size; bytes.split() splits at exactly the white space above."""
+    if len(data) <= chunk:
+        yield data.split()
+        return
+    start, spaces = 0, SPACES.encode()
+    while start < len(data):
+        end = min(start + chunk, len(data))
+        while end < len(data) and data[end] not in spaces:
+            end += 1
+        yield data[start:end].split()
+        start = end
+
+
+def groups(texts: list, size: int = 1 << 20):
+    """Neighbouring texts in lists of about `size` bytes or characters; a longer text is alone."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > size:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
