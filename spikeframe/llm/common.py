@@ -39,6 +39,15 @@ def kept(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def sample_texts(docs: DataFrame, rows: int, most_bytes: int = 1 << 16) -> list[str]:
+    """At most so many texts, none longer than `most_bytes`, for estimates that only set the speed.
+
+    take() reads as few partitions as it needs, and both bounds hold at every size of the table.
+    """
+    short = docs.select("text").where(F.octet_length("text") <= most_bytes)
+    return [row.text for row in short.take(rows)]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; other letters stay. Texts of ASCII alone take the faster function."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

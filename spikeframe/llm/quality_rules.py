@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spikeframe.llm.common import SPACES, kept, words_of
+from spikeframe.llm.common import SPACES, sample_texts, words_of
 
-SAMPLE_ROWS = 2000  # rows on which costs and selectivities are estimated; they set the order only
+SAMPLE_ROWS = 1000  # rows on which costs and selectivities are estimated; they set the order only
 SYMBOLS = "#*$%&|<>"  # fixed value
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -29,6 +29,11 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: a lambda over an array of one element binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_chars(words: Column) -> Column:
     return F.char_length(F.array_join(words, "")).cast("long")
 
@@ -69,10 +74,8 @@ def n_repeat_words(words: Column) -> Column:
     def sorted_pairs(h: Column) -> Column:
         return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
-    # let(x, f): transform over an array of one element computes x once
-    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
-        let(sorted_pairs(h), covered)))
+    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+        _let(sorted_pairs(h), covered)))
 
 
 FEATURES: dict[str, Callable[[], Column]] = {
@@ -80,8 +83,8 @@ FEATURES: dict[str, Callable[[], Column]] = {
     "word_chars": lambda: word_chars(words_of(F.col("text"))),
     "n_symbols": n_symbols,
     "n_lines": lambda: F.size(_worded_lines()).cast("long"),
-    "n_dup_lines": lambda: n_dup_lines(_worded_lines()),
-    "n_repeat_words": lambda: n_repeat_words(words_of(F.col("text"))),
+    "n_dup_lines": lambda: _let(_worded_lines(), n_dup_lines),
+    "n_repeat_words": lambda: _let(words_of(F.col("text")), n_repeat_words),
 }
 
 
@@ -111,9 +114,10 @@ ADDED = (
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a bounded sample, best first; an empty sample keeps the order given."""
-    sample = kept(docs.select("text").limit(sample_rows).repartition(8), "rule-sample")
-    if not sample.count():
+    texts = sample_texts(docs, sample_rows)
+    if not texts:
         return list(rules)
+    sample = docs.sparkSession.createDataFrame([(t,) for t in texts], "text string")
     gain = {}
     for rule in rules:
         began = time.perf_counter()

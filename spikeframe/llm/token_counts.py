@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeframe.llm.common import groups
+from spikeframe.llm.common import groups, sample_texts
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-SAMPLE_ROWS = 2000  # rows in which frequent pre-tokens are looked for; they set the speed only
+SAMPLE_ROWS = 1000  # rows in which frequent pre-tokens are looked for; they set the speed only
 FREQUENT = 20_000  # entries of the broadcast table
 CACHED = 400_000  # entries of a worker's cache
 CACHED_CHARS = 48  # longer pre-tokens are not remembered
@@ -87,20 +87,11 @@ class Lengths(dict):
 
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     """The lengths of the most frequent pre-tokens of a bounded sample of rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(t for t in pre_tokens(text or "") if len(t) <= CACHED_CHARS)
-                if len(seen) > 20 * FREQUENT:
-                    seen = Counter(dict(seen.most_common(10 * FREQUENT)))
-        best = seen.most_common(FREQUENT)
-        yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in best], pa.string())})
-
-    tokens = docs.select("text").limit(SAMPLE_ROWS).mapInArrow(count, "token string").limit(FREQUENT).collect()
+    seen: Counter = Counter()
+    for text in sample_texts(docs, SAMPLE_ROWS):
+        seen.update(t for t in pre_tokens(text) if len(t) <= CACHED_CHARS)
     lengths = Lengths(open_model(path), {})
-    lengths.learn({row.token for row in tokens})
+    lengths.learn({token for token, _ in seen.most_common(FREQUENT)})
     return dict(lengths)
 
 
