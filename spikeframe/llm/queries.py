@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, mixing, oracle, packing, quality_rules, simhash, token_counts
+from spikeframe.llm import line_dedup, mixing, oracle, packing, quality_rules, simhash, token_counts, warc
+from spikeframe.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = shared_folder(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), archive)
+    return warc.read_warc(spark, archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -59,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
+        "op10_warc": op10_warc,
     }
 
 
