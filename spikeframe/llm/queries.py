@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, mixing, oracle, packing, quality_rules, simhash, token_counts, warc
+from spikeframe.llm import line_dedup, mixing, oracle, packing, pii, quality_rules, simhash, token_counts, warc
 from spikeframe.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_documents(spark, sf_dir))
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spans_text("base_spans"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -62,6 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_pii": op2_pii,
         "op3_token_counts": op3_token_counts,
         "op4_mixing": op4_mixing,
         "op7_quality_rules": op7_quality_rules,
