@@ -13,7 +13,7 @@ SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-BROADCAST_ROWS = 500_000  # a counted table of at most so many narrow rows may be broadcast
+BROADCAST_ROWS = 200_000  # a counted table of at most so many narrow rows may be broadcast
 SALT_ROWS = 1_000_000  # rows of one key that one task joins
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeframe.llm import line_dedup, mixing, oracle, packing, pii, quality_rules, simhash, token_counts, warc
+from spikeframe.llm import cotrain, line_dedup, mixing, oracle, packing, pii, quality_rules, simhash, token_counts, warc
 from spikeframe.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_documents(spark, sf_dir))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op3_token_counts": op3_token_counts,
         "op4_mixing": op4_mixing,
+        "op6_cotraining": op6_cotraining,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,

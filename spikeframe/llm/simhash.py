@@ -2,9 +2,9 @@
 
 Fingerprints are made on the map side. The distinct ones are range-sorted into blocks of about equal
 size; a block is a run of neighbouring subtrees of one binary trie. Pairs of blocks whose common
-prefixes already differ in too many bits are pruned; each other pair is a task that walks down both
-subtrees together, bit by bit, and prunes where the differing bits exceed the budget. A task returns
-a spanning forest of its links, and components are found by passing on the smallest label.
+prefixes already differ in too many bits are pruned; each other pair is walked down together, bit by
+bit, and pruned where the differing bits exceed the budget. A pair returns a spanning forest of its
+links, and components are found by passing on the smallest label.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,8 @@ from spikeframe.llm.common import hash_pair, join_counted, kept, word_chunks
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-BLOCK = 8192  # distinct fingerprints of a block
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 13, 1 << 16, 1 << 12  # distinct fingerprints of a block, and the number of blocks aimed at
+SIGN = np.uint64(1 << 63)
 FRAMES = 1 << 17  # node pairs that a task holds for one step
 
 
@@ -116,51 +117,71 @@ def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _block_pairs(blocks: list, budget: int) -> list[tuple[int, int, int]]:
-    """(pair, left block, right block) of the blocks whose common prefixes differ in at most `budget` bits."""
-    low = np.array([r["low"] for r in blocks], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    high = np.array([r["high"] for r in blocks], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    ids = [r["block"] for r in blocks]
-    length = np.array([64 - int(x).bit_length() for x in low ^ high])  # bits that all values of a block share
-    out = []
-    for i in range(len(ids)):
-        shared = np.minimum(length[i], length[i:])
-        differ = np.where(shared == 0, np.uint64(0), (low[i] ^ low[i:]) >> (np.uint64(64) - shared.astype(np.uint64)) % np.uint64(64))
-        out += [(ids[i], ids[i + j]) for j in np.flatnonzero(np.bitwise_count(differ) <= budget)]
-    return [(k, i, j) for k, (i, j) in enumerate(out)]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of a partition as one row: block, low, high, and the sorted values as bytes."""
+    values = [batch.column(0).to_numpy() for batch in batches]
+    if values and sum(map(len, values)):
+        block = np.sort(np.concatenate(values))
+        yield pa.RecordBatch.from_pydict({
+            "block": [TaskContext.get().partitionId()], "low": block[:1], "high": block[-1:],
+            "fps": [(block.view(np.uint64) ^ SIGN).tobytes()]}, pa.schema(
+                [("block", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("fps", pa.binary())]))
 
 
-def links(distinct: DataFrame, rows: int, budget: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def _prefixes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest value of each block as bits, and how many leading bits all its values share."""
+    low, high = low.view(np.uint64) ^ SIGN, high.view(np.uint64) ^ SIGN
+    return low, np.array([64 - int(x).bit_length() for x in low ^ high], np.uint64)
+
+
+def _near(low: np.ndarray, length: np.ndarray, i: int, budget: int) -> np.ndarray:
+    """Which blocks may hold values within the budget of block i: prefixes are compared as far as both share one."""
+    shared = np.minimum(length[i], length)
+    differ = np.where(shared == 0, np.uint64(0), (low[i] ^ low) >> ((np.uint64(64) - shared) % np.uint64(64)))
+    return np.bitwise_count(differ) <= budget
+
+
+def links(distinct: DataFrame, rows: int, budget: int = MAX_BITS) -> DataFrame:
     """Links (a, b) that join all fingerprints of a component; `distinct` has `rows` distinct values `fp`.
 
-    The pair of two blocks is one task, of at most about twice `block` rows whatever the values are.
-    Only the limits of the blocks, one row for each, come to the driver.
+    A block is one row. A pair of blocks is the unit of work, of a bounded size whatever the values are;
+    only the limits of the blocks, two numbers for each, come to the driver and go to all tasks.
     """
     spark = distinct.sparkSession
+    size = min(max(LEAST_BLOCK, rows // BLOCKS), MOST_BLOCK)
     # flipping the highest bit makes signed order the order of the bits
     flipped = distinct.select(F.col("fp").bitwiseXOR(F.lit(-1 << 63)).alias("value"))
-    blocks = kept(flipped.repartitionByRange(max(1, -(-rows // block)), "value").withColumn(
-        "block", F.spark_partition_id()), "simhash-blocks")
-    limits = blocks.groupBy("block").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()
-    pairs = spark.createDataFrame(_block_pairs(limits, budget), "pair long, i int, j int")
-    sides = pairs.select("pair", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.where("i <> j").select("pair", F.col("j").alias("block"), F.lit(1).alias("side")))
-    dealt = blocks.join(F.broadcast(sides), "block").select("pair", "side", "value")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        values = group["value"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-        side = group["side"].to_numpy()
-        a, b = np.sort(values[side == 0]), np.sort(values[side == 1])
-        if len(b):
-            near = trie_pairs(a, b, budget) + [0, len(a)]
-        else:
-            near = trie_pairs(a, None, budget)
-        nodes = np.concatenate([a, b])
-        root = _forest(len(nodes), near)
-        inner = np.flatnonzero(root != np.arange(len(nodes)))
-        return pd.DataFrame({"a": nodes[inner].view(np.int64), "b": nodes[root[inner]].view(np.int64)})
-
-    return dealt.groupBy("pair").applyInPandas(walk, "a long, b long")
+    blocks = kept(flipped.repartitionByRange(max(1, -(-rows // size)), "value").mapInArrow(
+        _packed, "block int, low long, high long, fps binary"), "simhash-blocks")
+    limits = np.array(sorted(map(tuple, blocks.select("low", "high", "block").collect())), np.int64).reshape(-1, 3)
+    known = spark.sparkContext.broadcast((limits[:, 2], *_prefixes(limits[:, 0].copy(), limits[:, 1].copy())))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, low, length = known.value
+        place = {block: k for k, block in enumerate(ids.tolist())}
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                later = np.flatnonzero(_near(low, length, place[block], budget))
+                later = ids[later[later >= place[block]]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(later), block, np.int32)), pa.array(later)], ["i", "j"])
+
+    pairs = blocks.select("block").repartition(max(1, len(limits) // 64)).mapInArrow(neighbours, "i int, j int")
+    pairs = pairs.repartition(max(1, len(limits)), "j")
+    left = blocks.select(F.col("block").alias("i"), F.col("fps").alias("a"))
+    right = blocks.select(F.col("block").alias("j"), F.col("fps").alias("b"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, a, b in zip(*(column.to_pylist() for column in batch.columns)):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                near = trie_pairs(a, None if i == j else b, budget)
+                nodes = a if i == j else np.concatenate([a, b])
+                root = _forest(len(nodes), near + (0 if i == j else [0, len(a)]))
+                inner = np.flatnonzero(root != np.arange(len(nodes)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[inner].view(np.int64)), pa.array(nodes[root[inner]].view(np.int64))], ["a", "b"])
+
+    return pairs.join(left, "i").join(right, "j").select("i", "j", "a", "b").mapInArrow(walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
