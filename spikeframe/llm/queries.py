@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeframe.llm import cotrain, line_dedup, mixing, oracle, packing, pii, quality_rules, simhash, token_counts, warc
+from spikeframe.llm import cotrain, line_dedup, mixing, oracle, packing, pii, quality_rules, search, simhash, token_counts, warc
 from spikeframe.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return search.search(docs, docs.where(F.col("doc_id") % 20 == 0)).select("query_id", "rank", "doc_id", "score")
+
+
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op3_token_counts": op3_token_counts,
         "op4_mixing": op4_mixing,
+        "op5_topk_search": op5_topk_search,
         "op6_cotraining": op6_cotraining,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
