@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 SMALLEST = 128  # pieces of exact classes are not shorter
 END_ID = 1
-CACHED = 400_000  # words whose ids a worker remembers
+CACHED = 800_000  # words whose ids a worker remembers
 CACHED_BYTES = 48
 
 
@@ -80,6 +81,12 @@ class WordIds(dict):
                 yield b"".join(map(self.__getitem__, words))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """The words a worker has seen, for all tasks that it runs."""
+    return WordIds(path)
+
+
 def cut(length: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
     """Lengths of the pieces of a document, in order."""
     pieces, size = [], capacity
@@ -145,7 +152,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bins, kind = WordIds(path), Bins(TaskContext.get().partitionId() << 40, capacity), None
+        words, bins, kind = word_ids(path), Bins(TaskContext.get().partitionId() << 40, capacity), None
 
         def rows() -> pa.RecordBatch:
             columns = list(zip(*bins.rows)) or [()] * len(names)
