@@ -141,6 +141,12 @@ def _analysis(d: Data) -> DataFrame:
     return result.summary.select(*RECORDING, *schemas.SPIKE_FEATURES, *schemas.BURST_FEATURES, *NORM)
 
 
+def _three_genotypes(d: Data) -> DataFrame:
+    """The summary with every third recording as a genotype of its own."""
+    third = F.substring("fileName", 5, 12).cast("long") % 3 == 2
+    return d.norm().withColumn("genotype", F.when(third, "HET").otherwise(F.col("genotype")))
+
+
 def _features(*names: str) -> Query:
     return _query(lambda d: d.features(SPARSE).select("fileName", *names))
 
@@ -206,6 +212,8 @@ def queries() -> dict[str, Query]:
         "burst_spikes": _features("burst_spikes_total", "burst_spikes_mean", "burst_spikes_sd"),
         "burst_spike_rate": _features("spikeRate_inBurst_mean", "spikeRate_inBurst_sd"),
         "burst_rate": _features("burstRate_mean", "burstRate_sd"),
+        "burst_rate_filtered": _query(lambda d: X.burst_features(
+            d.summary(), d.bursts().where("spike_count >= 6"), d.layout).select("fileName", "burst_n", "burstRate_mean", "burstRate_sd")),
         "burst_duration": _features("burst_dur_mean", "burst_dur_sd"),
         "inter_burst_interval": _features("ibi_mean", "ibi_sd"),
         "burst_features": _query(lambda d: d.features().select(*all_features)),
@@ -235,15 +243,16 @@ def queries() -> dict[str, Query]:
         "welch_t": _query(lambda d: G.welch_t(d.norm()).drop("position"), digits=5),
         "bi_summary": _query(lambda d: G.bi_summary(d.norm())),
         "multi_summary": _query(lambda d: G.multi_summary(d.norm(), ["WT", "KO"]).drop("position")),
+        "multi_summary_all": _query(lambda d: G.multi_summary(_three_genotypes(d)).drop("position")),
         # distributions
         "raster_points": _query(lambda d: E.raster_points(d.labelled(), xlim=250, channel_max=60)),
         "raster_points_sync": _query(_raster_sync),
         "channel_rates_spike": _query(lambda d: D.channel_rates(d.spikes)),
         "channel_rates_burst": _query(lambda d: D.channel_rates(d.bursts())),
         "ecdf": _query(lambda d: D.ecdf(D.channel_rates(d.spikes))),
-        "ks_statistic": _query(lambda d: D.ks_test(D.channel_rates(d.spikes), exact=False).drop("p_value")),
-        "ks_test": _query(lambda d: D.ks_test(D.channel_rates(d.spikes), exact=False)),
-        "ks_test_exact": _query(lambda d: D.ks_test(D.channel_rates(d.spikes))),
+        "ks_statistic": _query(lambda d: D.ks_test(D.channel_rates(d.spikes)).drop("p_value", "method")),
+        "ks_test": _query(lambda d: D.ks_test(D.channel_rates(d.spikes), method="asymptotic")),
+        "ks_test_exact": _query(lambda d: D.ks_test(D.channel_rates(d.spikes), method="exact")),
         # similarity
         "channel_similarity": _query(_similarity, digits=3),
         "channel_similarity_log": _query(lambda d: S.similarity_log(_similarity(d)), digits=3),
@@ -256,6 +265,7 @@ def queries() -> dict[str, Query]:
         "activity_map": _query(lambda d: E.activity_map(d.spikes)),
         "activity_map_windowed": _query(lambda d: E.activity_map_windowed(d.labelled(), 10)),
         "activity_map_sliding": _query(lambda d: E.activity_map_windowed(d.labelled(), 10, 1)),
+        "activity_map_frame": _query(lambda d: E.activity_map_frame(d.labelled(), 103, 158, 20, 10)),
         # the whole way from spikes to a normalised summary
         "analysis_summary": _query(_analysis),
     }

@@ -358,6 +358,12 @@ means AS (SELECT fileName, j, avg(isi) AS mean FROM placed GROUP BY ALL)"""),
         "burst_spikes": feature_part("burst_spikes_total", "burst_spikes_mean", "burst_spikes_sd"),
         "burst_spike_rate": feature_part("spikeRate_inBurst_mean", "spikeRate_inBurst_sd"),
         "burst_rate": feature_part("burstRate_mean", "burstRate_sd"),
+        "burst_rate_filtered": _sql("""
+SELECT s.fileName, CAST(coalesce(sum(n), 0) AS BIGINT) AS burst_n, round(CASE WHEN sum(n) IS NULL THEN 0 ELSE avg(n / maxRecording / 60) END, 6) AS burstRate_mean,
+       round(CASE WHEN sum(n) IS NULL THEN 0 ELSE stddev_samp(n / maxRecording / 60) END, 6) AS burstRate_sd
+FROM (SELECT DISTINCT fileName FROM spikes) s
+LEFT JOIN (SELECT fileName, channel_id, maxRecording, count(*) AS n FROM bursts WHERE spike_count >= 6 GROUP BY ALL) USING (fileName)
+GROUP BY s.fileName""", dense),
         "burst_duration": feature_part("burst_dur_mean", "burst_dur_sd"),
         "inter_burst_interval": feature_part("ibi_mean", "ibi_sd"),
         "burst_features": _sql(f"SELECT {feature_columns} FROM burst_summary", dense, *summary),
@@ -401,6 +407,12 @@ FROM welch""", dense, *summary, NORM, LONG, WELCH),
             f"round(max(mean) FILTER (genotype = '{g}'), 6) AS {g}_mean, round(max(sem) FILTER (genotype = '{g}'), 6) AS {g}_sem, "
             f"max(n) FILTER (genotype = '{g}') AS {g}_n" for g in ("WT", "KO")) + " FROM grouped GROUP BY variable",
             dense, *summary, NORM, LONG, GROUPED),
+        "multi_summary_all": _sql("SELECT variable, " + ", ".join(
+            f"round(max(mean) FILTER (genotype = '{g}'), 6) AS {g}_mean, round(max(sem) FILTER (genotype = '{g}'), 6) AS {g}_sem, "
+            f"max(n) FILTER (genotype = '{g}') AS {g}_n" for g in ("HET", "KO", "WT")) + " FROM grouped GROUP BY variable",
+            dense, *summary, NORM.replace("norm AS", "two AS") + """,
+norm AS (SELECT * REPLACE (CASE WHEN CAST(substr(fileName, 5) AS BIGINT) % 3 = 2 THEN 'HET' ELSE genotype END AS genotype) FROM two)""",
+            LONG, GROUPED),
         # distributions
         "raster_points": _sql("""SELECT fileName, genotype, channel_id, round(s, 6) AS s, burst_id IS NOT NULL AS in_burst
             FROM labelled WHERE s >= 0 AND s <= 250 AND channel_id BETWEEN 10 AND 60""", dense, LABELLED),
@@ -415,13 +427,13 @@ FROM welch""", dense, *summary, NORM, LONG, WELCH),
             count(*) OVER (PARTITION BY genotype, Hz) AS n FROM hz""", _channel_hz("spikes")),
         "ks_statistic": _sql("SELECT pair, n, m, round(D, 6) AS D FROM ks", _channel_hz("spikes"), KS),
         "ks_test": _sql("""
-SELECT pair, n, m, round(D, 6) AS D, round(greatest(0, least(1,
+SELECT pair, n, m, round(D, 6) AS D, 'asymptotic' AS method, round(greatest(0, least(1,
        2 * list_sum(list_transform(range(1, 201), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)
            * exp(-2.0 * k * k * D * D * CAST(n AS DOUBLE) * m / (n + m)))))), 6) AS p_value
 FROM ks""", _channel_hz("spikes"), KS),
         # All orders of the pooled sample, as shares of ways that stayed below D so far.
         "ks_test_exact": _sql("""
-SELECT pair, n, m, round(D, 6) AS D,
+SELECT pair, n, m, round(D, 6) AS D, 'exact' AS method,
        round(1 - (SELECT sum(mass) FROM walk, ks k2 WHERE walk.k = k2.n + k2.m), 6) AS p_value FROM ks""",
                               _channel_hz("spikes"), KS, """
 ends AS (
@@ -460,6 +472,13 @@ USING (channel_id)""", GRID),
 SELECT r.fileName, r.genotype, g.channel_id, g.x, g.y, coalesce(n, 0) AS n, n IS NULL AS not_used
 FROM (SELECT DISTINCT fileName, genotype FROM spikes) r CROSS JOIN grid g
 LEFT JOIN per_channel p ON p.fileName = r.fileName AND p.channel_id = g.channel_id""", GRID),
+        "activity_map_frame": _sql("""
+SELECT r.fileName, r.genotype, g.channel_id, g.x, g.y, CAST(w * 10 AS DOUBLE) AS from_s,
+       count(l.s) AS spikes, count(DISTINCT l.burst_id) AS bursts, p.n IS NULL AS not_used
+FROM (SELECT DISTINCT fileName, genotype FROM spikes) r CROSS JOIN grid g CROSS JOIN range(11, 14) t(w)
+LEFT JOIN per_channel p ON p.fileName = r.fileName AND p.channel_id = g.channel_id
+LEFT JOIN labelled l ON l.fileName = r.fileName AND l.channel_id = g.channel_id AND l.s >= w * 10 AND l.s < w * 10 + 20
+GROUP BY ALL""", dense, LABELLED, GRID),
         "activity_map_windowed": windowed(10, 1),
         "activity_map_sliding": windowed(1, 10),
     }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import channel_list, ratio
 from ..layout import Layout
+from ..sources.metadata import listed_once
 
 ACTIVE_RATE = 0.01  # fixed value: Hz from which a channel counts as active
 
@@ -14,7 +15,8 @@ ACTIVE_RATE = 0.01  # fixed value: Hz from which a channel counts as active
 def stamp_metadata(spikes: DataFrame, meta: DataFrame, layout: Layout, columns=("genotype", "maxRecording")) -> DataFrame:
     """Take the given columns from the metadata; spikes of unlisted recordings drop out."""
     kept = spikes.drop(*columns)
-    return layout.recordings.lookup(kept, meta.select("fileName", *columns), bounded=False)
+    listed = listed_once(meta, **{c: F.col(c) for c in columns})
+    return layout.recordings.lookup(kept, listed, bounded=False)
 
 
 def channel_counts(spikes: DataFrame, rate: float = ACTIVE_RATE) -> DataFrame:
@@ -38,7 +40,7 @@ def stamp_channel_counts(spikes: DataFrame, layout: Layout, rate: float = ACTIVE
 
 def tag_layers(spikes: DataFrame, meta: DataFrame, layout: Layout) -> DataFrame:
     """Add `layer`: "upper" for the listed channels, else "lower"; NULL without a list."""
-    upper = meta.select("fileName", channel_list("upperLayerChannels").alias("_upper"))
+    upper = listed_once(meta, _upper=channel_list("upperLayerChannels"))
     layer = (
         F.when(F.col("_upper").isNull(), None)
         .when(F.array_contains("_upper", F.col("channel_id")), "upper")

@@ -35,12 +35,15 @@ def ecdf(rates: DataFrame) -> DataFrame:
         "genotype", "Hz", "n", (F.col("_upto") / F.col("_total")).alias("ecdf"))
 
 
-def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), exact: bool = True) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov test between two genotypes: n, m, D, p_value.
+def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), method: str = "asymptotic") -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test between two genotypes: n, m, D, p_value, method.
 
-    The p-value is exact for n * m < 10000, the usual limit; above it, or with
-    exact=False, it is the large-sample limit.
+    The caller chooses the p-value, whatever the size: "asymptotic" is the
+    large-sample limit, "exact" goes through all orders of the pooled sample, in
+    one task, with time n * (n + m) for the sizes of the samples.
     """
+    if method not in ("exact", "asymptotic"):
+        raise ValueError(f"unknown method: {method}")
     first, second = genotypes
     counts = [F.count(F.when(F.col("genotype") == g, 1)).alias(c) for g, c in ((first, "_a"), (second, "_b"))]
     values = (
@@ -55,14 +58,12 @@ def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), exact:
     total = values.groupBy("pair").agg(F.sum("_a").alias("n"), F.sum("_b").alias("m"))
     gap = F.abs(F.try_divide(F.col("_a_upto"), F.col("n")) - F.try_divide(F.col("_b_upto"), F.col("m")))
     result = pairs.lookup(counted, total).groupBy("pair", "n", "m").agg(F.max(gap).alias("D"))
-    result = result.withColumn("p_value", kolmogorov_p_value(F.col("D"), F.col("n"), F.col("m")))
-    if not exact:
-        return result
-    # Both samples non-empty and n * m < 10000 leaves at most 10000 rates for the task.
-    small = result.where((F.col("n") > 0) & (F.col("m") > 0) & (F.col("n") * F.col("m") < 10000))
-    rows = pairs.lookup(values, small)
-    p = rows.groupBy("pair").applyInPandas(_exact_p(), "pair string, _exact double")
-    return result.join(p, "pair", "left").withColumn("p_value", F.coalesce("_exact", "p_value")).drop("_exact")
+    result = result.withColumn("method", F.lit(method))
+    if method == "asymptotic":
+        return result.withColumn("p_value", kolmogorov_p_value(F.col("D"), F.col("n"), F.col("m")))
+    known = result.where((F.col("n") > 0) & (F.col("m") > 0)).select("pair", "n", "m", "D")
+    p = pairs.lookup(values, known).groupBy("pair").applyInPandas(_exact_p(), "pair string, p_value double")
+    return result.join(p, "pair", "left")
 
 
 def _exact_p():
@@ -98,6 +99,6 @@ def _exact_p():
             j = met - i
             mass[np.abs(i * m - j * n) >= limit] = 0.0
         p = 1.0 if limit <= 0 else 1.0 - float(mass.sum())
-        return pd.DataFrame({"pair": [group["pair"].iloc[0]], "_exact": [min(max(p, 0.0), 1.0)]})
+        return pd.DataFrame({"pair": [group["pair"].iloc[0]], "p_value": [min(max(p, 0.0), 1.0)]})
 
     return exact_p

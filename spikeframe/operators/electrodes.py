@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +64,18 @@ def activity_map_windowed(
     """Spikes and bursts per electrode and time window [from_s, from_s + width).
 
     Windows start at multiples of `step` (default: the width, so they do not
-    overlap). `start` and `end` keep the spikes of one time frame, start <= s < end.
+    overlap). `start` and `end` keep the windows that lie wholly in that time frame.
+    Electrodes without a spike in a window have no row; `activity_map_frame` has them.
     """
     step = float(step or width)
     per_window = round(width / step)
     if abs(per_window * step - width) > 1e-9 * width:
         raise ValueError("width must be a multiple of step")
-    if start is not None:
-        labelled = labelled.where(F.col("s") >= float(start))
-    if end is not None:
-        labelled = labelled.where(F.col("s") < float(end))
+    first, last = _frame(width, step, start, end)
+    if first is not None:
+        labelled = labelled.where(F.col("s") >= first * step)
+    if last is not None:
+        labelled = labelled.where(F.col("s") < last * step + width)
     # Counted per step and burst before a row is copied to its windows.
     steps = (
         labelled.withColumn("_step", F.floor(F.col("s") / F.lit(step)).cast("long"))
@@ -80,7 +84,9 @@ def activity_map_windowed(
     window = F.col("_step")
     if per_window > 1:
         steps = steps.withColumn("_window", F.explode(F.sequence(F.col("_step") - (per_window - 1), F.col("_step"))))
-        steps = steps.where(F.col("_window") >= 0)
+        steps = steps.where(F.col("_window") >= (first or 0))
+        if last is not None:
+            steps = steps.where(F.col("_window") <= last)
         window = F.col("_window")
     return (
         steps.withColumn("window", window)
@@ -93,6 +99,38 @@ def activity_map_windowed(
     )
 
 
+def _frame(width: float, step: float, start: float | None, end: float | None) -> tuple[int | None, int | None]:
+    """Numbers of the first and the last window inside a time frame; the slack is for decimal fractions."""
+    first = None if start is None else max(0, math.ceil(start / step - 1e-9))
+    last = None if end is None else math.floor((end - width) / step + 1e-9)
+    return first, last
+
+
+def activity_map_frame(
+    labelled: DataFrame, start: float, end: float, width: float = 1.0, step: float | None = None,
+) -> DataFrame:
+    """Spikes and bursts on the whole grid for every recording and window inside the time frame.
+
+    0 stands for an electrode without a spike in the window; `not_used` marks
+    electrodes without any in the recording.
+    """
+    step = float(step or width)
+    counts = activity_map_windowed(labelled, width, step, start, end).drop("x", "y")
+    first, last = _frame(width, step, start, end)
+    used = labelled.select("fileName", "genotype", "channel_id").distinct()
+    windows = F.explode(F.sequence(F.lit(first), F.lit(last))) if last >= first else F.explode(F.array().cast("array<int>"))
+    grid = (
+        on_grid(used.select("fileName", "genotype").distinct())
+        .join(used.select("fileName", "channel_id", F.lit(True).alias("_used")), ["fileName", "channel_id"], "left")
+        .withColumn("window", windows).withColumn("from_s", F.col("window") * F.lit(step))
+    )
+    zero = F.lit(0)
+    return grid.join(counts, ["fileName", "channel_id", "from_s"], "left").select(
+        "fileName", "genotype", "channel_id", "x", "y", "from_s",
+        F.coalesce("spikes", zero).alias("spikes"), F.coalesce("bursts", zero).alias("bursts"),
+        F.col("_used").isNull().alias("not_used"))
+
+
 def raster_points(
     labelled: DataFrame, xlim: float = 1050, channel_min: int = 10, channel_max: int = 88,
 ) -> DataFrame:

@@ -16,6 +16,8 @@ def spike_features(spikes: DataFrame, layout: Layout, isi_mode: str = "pooled")
 
     The pooled interval statistics come from per-channel counts, means and
     variances, so the spikes are shuffled once, and only as partial aggregates.
+    Channel means are centred on the recording's, so near-constant intervals keep
+    their digits.
     `isi_mode="positional"` takes them from `positional_isi` instead.
     """
     isi = F.when(F.col("isi") > 0, F.col("isi"))
@@ -25,19 +27,23 @@ def spike_features(spikes: DataFrame, layout: Layout, isi_mode: str = "pooled")
         F.avg(isi).alias("isi_avg"),
         F.var_samp(isi).alias("isi_var"),
     )
+    # One row per electrode of a recording in this window.
+    whole = Window.partitionBy(*schemas.RECORDING)
+    centre = F.try_divide(F.sum(F.col("isi_n") * F.col("isi_avg")).over(whole), F.sum("isi_n").over(whole))
+    channels = channels.withColumn("_centre", centre)
     rate = ratio("n", "maxRecording")
     n = F.sum("isi_n")
-    mean = F.try_divide(F.sum(F.col("isi_n") * F.col("isi_avg")), n)
-    within = F.sum((F.col("isi_n") - 1) * F.coalesce(F.col("isi_var"), F.lit(0.0)))
-    between = F.sum(F.col("isi_n") * F.col("isi_avg") * F.col("isi_avg")) - n * mean * mean
-    variance = F.try_divide(F.coalesce(within, F.lit(0.0)) + between, n - 1)
+    shift = F.col("isi_avg") - F.col("_centre")
+    # A channel without a positive interval has no mean and adds nothing.
+    squares = F.sum((F.col("isi_n") - 1) * F.coalesce(F.col("isi_var"), F.lit(0.0)) + F.col("isi_n") * shift * shift)
+    variance = F.try_divide(squares, n - 1)
     summary = channels.groupBy(*schemas.RECORDING).agg(
         F.sum("n").alias("spike_n"),
         ratio(F.sum("n"), F.first("maxRecording")).alias("sliceSpikeRate"),
         r_mean(rate).alias("spikeRate_mean"),
         r_sd(rate).alias("spikeRate_sd"),
-        mean.alias("isi_mean"),
-        F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("isi_sd"),
+        F.first("_centre").alias("isi_mean"),
+        F.when(n > 1, F.sqrt(variance)).alias("isi_sd"),
     )
     if isi_mode == "positional":
         summary = summary.drop("isi_mean", "isi_sd").join(positional_isi(spikes, layout), "fileName", "left")
@@ -121,10 +127,13 @@ def burst_statistics(bursts: DataFrame, layout: Layout, per_minute: bool = False
     """Burst features of the recordings that have bursts: one pass over the bursts."""
     channels = layout.channels
     bursts = channels.split(bursts, "start_time_s")
-    bursts = channels.following(bursts, "_next", "start_time_s", "start_time_s", "burst_id")
+    order = ("start_time_s", "burst_id")
+    bursts = channels.following(bursts, "_next", "start_time_s", *order)
+    bursts = channels.running_sum(bursts, "_upto", F.lit(1), *order)
     in_burst = ratio("spike_count", "duration_s")
-    # The last burst of a channel carries the number of its bursts.
-    per_channel = F.when(F.col("_next").isNull(), F.try_divide(F.col("burst_id"), F.col("maxRecording")) / 60)
+    # The last burst of a channel carries the number of its bursts. They are counted:
+    # after a filter the numbers of the bursts have gaps.
+    per_channel = F.when(F.col("_next").isNull(), F.try_divide(F.col("_upto"), F.col("maxRecording")) / 60)
     scale = F.lit(3600.0 if per_minute else 1.0)
     ibi = F.col("_next") - F.col("end_time_s")
     return bursts.groupBy("fileName").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import capped, channel_list, in_interval, ratio
 from ..layout import Layout
-from ..sources.metadata import tidy_meta
+from ..sources.metadata import listed_once, tidy_meta
 from .channels import ACTIVE_RATE, stamp_channel_counts
 
 
@@ -66,7 +66,7 @@ def active_filter(spikes: DataFrame, layout: Layout, threshold: float = ACTIVE_R
 
 def channel_filter(spikes: DataFrame, meta: DataFrame, layout: Layout) -> DataFrame:
     """Drop the channels that the metadata exclude, and recordings they do not list."""
-    listed = meta.select("fileName", channel_list("channels2exclude").alias("_excluded"))
+    listed = listed_once(meta, _excluded=channel_list("channels2exclude"))
     keep = F.col("_excluded").isNull() | ~F.array_contains("_excluded", F.col("channel_id"))
     return (
         layout.recordings.lookup(spikes, listed, bounded=False)

@@ -95,11 +95,22 @@ def bi_summary(summary: DataFrame) -> DataFrame:
         F.round("t", 2).alias("T_stat"), F.round("p", 4).alias("P_value"))
 
 
-def multi_summary(summary: DataFrame, genotypes: list[str]) -> DataFrame:
-    """Mean, standard error and n of every variable for any number of genotypes."""
+def multi_summary(summary: DataFrame, genotypes: list[str | None] | None = None) -> DataFrame:
+    """Mean, standard error and n of every variable for any number of genotypes.
+
+    By default the genotypes of the data, in order; recordings without one come last, as "NA". A
+    list may add and order genotypes, but one that leaves out a genotype of the data is refused.
+    """
     stats = group_means(summary)
+    # One row per genotype: they become columns.
+    present = [r.genotype for r in summary.select("genotype").distinct().collect()]
+    if genotypes is None:
+        genotypes = sorted(present, key=lambda g: (g is None, g or ""))
+    elif left := set(present) - set(genotypes):
+        raise ValueError(f"genotypes not in the list: {sorted(map(str, left))}")
     columns = []
     for g in genotypes:
-        here = F.col("genotype") == g
-        columns += [F.max(F.when(here, F.col(c))).alias(f"{g}_{c}") for c in ("mean", "sem", "n")]
+        here = F.col("genotype").eqNullSafe(F.lit(g))
+        name = "NA" if g is None else g
+        columns += [F.max(F.when(here, F.col(c))).alias(f"{name}_{c}") for c in ("mean", "sem", "n")]
     return stats.groupBy("variable", "position").agg(*columns)

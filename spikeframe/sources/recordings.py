@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..layout import Layout
+from ..layout import Layout, kept
 from ..operators.channels import stamp_channel_counts, tag_layers
+from .metadata import base_name, listed_once
+from .snapshots import read_stage, write_stage
 
 # Fixed values of the export format.
 CHANNEL_LINE = "t\t"
@@ -28,7 +30,8 @@ END_LINES = ("Bined Parameters:", "Binned Parameters:")
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all text files under `path` with the place they come from."""
     return spark.read.text(path, pathGlobFilter="*.txt").select(
-        F.col("_metadata.file_name").alias("file"),
+        # The whole path: files of equal names in different folders are different files.
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         # Rows of a split come in file order.
         F.monotonically_increasing_id().alias("line"),
@@ -109,25 +112,44 @@ def parse_lines(lines: DataFrame, decimal: str = ".") -> DataFrame:
 def stamp_recordings(parsed: DataFrame, meta: DataFrame, region: bool = False) -> DataFrame:
     """Give parsed spikes the metadata columns; files without metadata drop out.
 
-    File names match with or without ".txt"; the spelling of the metadata stays.
+    File names, without their folders, match with or without ".txt"; the spelling
+    of the metadata stays.
     """
     columns = ["genotype", "maxRecording"] + (["region"] if region else [])
-    listed = meta.select(_base_name(F.col("fileName")).alias("_file"), "fileName", *columns)
-    named = parsed.withColumn("_file", _base_name(_decoded(F.col("file"))))
+    listed = listed_once(meta, **{c: F.col(c) for c in columns}).withColumn("_file", base_name())
+    named = parsed.withColumn("_file", _base_name(_decoded(F.substring_index("file", "/", -1))))
     # The metadata table is read from a file, so Spark knows its size.
     return named.join(listed, "_file").drop("_file", "file")
 
 
 def compile_recordings(
     spark: SparkSession, meta: DataFrame, path: str,
-    decimal: str = ".", layers: bool = False,
+    decimal: str = ".", layers: bool = False, directory: str | None = None, prefix: str = "",
 ) -> tuple[DataFrame, Layout]:
     """Read all recordings that the metadata list: the raw spike table and its layout.
 
-    `layers` adds region and layer. The layout is counted here and the table is
-    lazy, so write it (`snapshots.write_stage`) before working on it at length.
+    `layers` adds region and layer. The text is parsed once: the parsed spikes are
+    written to the shared folder, and counted and stamped from there. With a
+    `directory` the finished table is written as the raw stage and read back.
     """
-    return finish_spikes(stamp_recordings(parse_lines(read_lines(spark, path), decimal), meta, region=layers), meta, layers)
+    check_one_file(spark, meta, path)
+    parsed = stamp_recordings(parse_lines(read_lines(spark, path), decimal), meta, region=layers)
+    spikes, layout = finish_spikes(kept(parsed), meta, layers)
+    if directory is not None:
+        write_stage({"spikes": spikes}, directory, "raw", prefix)
+        spikes = read_stage(spark, directory, "raw", "spikes", prefix)
+    return spikes, layout
+
+
+def check_one_file(spark: SparkSession, meta: DataFrame, path: str) -> None:
+    """Raise if two files under `path` belong to one recording of the metadata. Only lists the files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(
+        _base_name(_decoded(F.substring_index("_metadata.file_path", "/", -1))).alias("_file"), "path")
+    listed = meta.select(base_name().alias("_file")).distinct()
+    double = files.join(listed, "_file", "left_semi").groupBy("_file").agg(
+        F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last")).where("n > 1")
+    if found := double.orderBy("_file").take(20):
+        raise ValueError("several files for one recording: " + "; ".join(f"{r.first}, {r.last}" for r in found))
 
 
 def finish_spikes(spikes: DataFrame, meta: DataFrame, layers: bool = False) -> tuple[DataFrame, Layout]:
