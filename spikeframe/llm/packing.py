@@ -51,19 +51,28 @@ class WordIds(dict):
         return packed
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode new words together, which costs less than one by one; offsets tell whose the ids are."""
+        """Encode new words together, which costs less than one by one; offsets tell whose the ids are.
+
+        A full stop or comma at the end, after a letter or digit, is a token sequence of its own, so
+        words are encoded without it.
+        """
         new = [w for w in words if w not in self and len(w) <= CACHED_BYTES]
-        if len(self) + len(new) > CACHED:
+        if len(self) + 2 * len(new) > CACHED:
             self.clear()
-            new = [w for w in words if len(w) <= CACHED_BYTES][:CACHED]
-        for k in range(0, len(new), 1000):
-            part = new[k:k + 1000]
+            new = [w for w in words if len(w) <= CACHED_BYTES][: CACHED // 2]
+        stems = {w: w.rstrip(b".,") for w in new if w[-1:] in (b".", b",")}
+        stems = {w: stem for w, stem in stems.items() if stem[-1:].isalnum()}
+        plain = [w for w in new if w not in stems]
+        plain += {stem for stem in stems.values() if stem not in self}.difference(plain)
+        for k in range(0, len(plain), 1000):
+            part = plain[k:k + 1000]
             texts = [w.decode() for w in part]
             starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
             encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             first = np.searchsorted([o[0] for o in encoded.offsets], starts) * 4
             packed = np.array(encoded.ids, "<u4").tobytes()
             self.update((w, packed[i:j]) for w, i, j in zip(part, first.tolist(), first[1:].tolist()))
+        self.update((w, self[stem] + self[w[len(stem):]]) for w, stem in stems.items())
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; texts are taken together up to a bounded size."""
@@ -75,12 +84,17 @@ class WordIds(dict):
                     chunks.append(b"".join(map(self.__getitem__, words)))
                 yield b"".join(chunks)
                 continue
-            split = [text.split() for text in group]
+            split = [_words(text) for text in group]
             self.learn(set().union(*split))
             for words in split:
                 yield b"".join(map(self.__getitem__, words))
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The words, in ASCII lower case as the tokenizer has them, unless that could make up a special token."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """The words a worker has seen, for all tasks that it runs."""
