@@ -103,7 +103,7 @@ def test_token_counts(docs, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
-STRANGE = ["a", "B", "É", "ß", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", " ", " ", "▁", "<s>", "</s>", "<unk>", "<|endoftext|>", "<0x0A>",
+STRANGE = ["a", "B", "É", "ß", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", " ", " ", "▁", "<s>", "</s>", "<unk>", "<|endoftext|>", "<|EndOfText|>", ",", "Ab", "<0x0A>",
            "ﬁ", "１", "é", "́", "Σ", "İ", "K", "😀", "中", ".", "'s", "1", "\x00", "​", "the", "ing", "﻿"]
 
 
