@@ -4,14 +4,16 @@ Most operators read a channel in time order, and a plain window gives each
 channel to one task. That holds until one channel, or one recording, has a
 large share of all rows. So the library measures the row counts first
 (`Layout.measure`, one narrow aggregation) and cuts every key above
-`spark.spikeframe.rowsPerSlice` rows into time slices. Ordered operators then
-work inside (key, slice) and take what they need from the neighbouring slices
-out of a small carry table with one row per slice of a cut key.
+`spark.spikeframe.rowsPerSlice` rows into time slices of about half as many
+rows, at quantiles of the time. Ordered operators then work inside (key, slice)
+and take what they need from the neighbouring slices out of a small carry table
+with one row per slice of a cut key.
 
-Sizes are bounded by construction. At most MAX_HOT keys are cut, the largest
-ones, so an uncut key has at most 1/MAX_HOT of all rows, and there are at most
-MAX_HOT * (SLICES_PER_SHARE + 1) slices: this is what the carry tables hold and
-what is broadcast. When nothing is above the limit the plans are plain windows.
+There is no limit on the number of cut keys. Each has more than rowsPerSlice
+rows, so there are at most rows / rowsPerSlice of them, and about twice as many
+slices; they are counted, and joined by broadcast only up to
+`spark.spikeframe.broadcastRows`. When nothing is above the limit the plans are
+plain windows.
 
 The counts stay valid as upper limits after filters, so one measurement serves
 a whole analysis.
@@ -20,8 +22,11 @@ a whole analysis.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -29,11 +34,12 @@ from pyspark.sql import functions as F
 ROWS_PER_SLICE = 1 << 22
 BROADCAST_ROWS = 1_000_000
 FEW_KEYS = 10_000
-MAX_HOT = 4096
-SLICES_PER_SHARE = 16
+SLICES_PER_SHARE = 2  # slices for each rowsPerSlice rows of a cut key
+ACCURACY = 20  # error of a quantile: at most this part of a slice of the largest key
 
 ROWS_PER_SLICE_CONF = "spark.spikeframe.rowsPerSlice"
 BROADCAST_ROWS_CONF = "spark.spikeframe.broadcastRows"
+SHARED_CONF = "spark.checkpoint.dir"
 
 
 def rows_per_slice(spark: SparkSession) -> int:
@@ -44,21 +50,42 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
 
 
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    # Goes away with the process.
+    return tempfile.TemporaryDirectory(prefix="spikeframe-")
+
+
+def kept_folder(spark: SparkSession) -> str:
+    """Where this application keeps intermediate tables: below the folder that spark.checkpoint.dir names.
+
+    Only a local session without that setting, as in tests, gets a folder of its own.
+    """
+    base = spark.conf.get(SHARED_CONF, None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED_CONF} to a folder that all executors share")
+        base = f"file://{_local_folder().name}"
+    # With its scheme, so that the path means the same to readers other than Spark.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, f"spikeframe-{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/(?!/)", "file:///", files.makeQualified(path).toString())
+
+
 def kept(table: DataFrame) -> DataFrame:
-    """Write a small intermediate table to the checkpoint folder of the cluster.
+    """Write a small intermediate table to the shared folder and read it back.
 
-    A local session without such a folder gets a temporary one. On a cluster
-    without one the table stays lazy: slower, with the same result.
+    The session is not changed. `discard_kept` removes the tables of an application.
     """
-    context = table.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = table.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return table
-            folder = tempfile.mkdtemp(prefix="spikeframe-")
-        context.setCheckpointDir(folder)
-    return table.checkpoint()
+    path = f"{kept_folder(table.sparkSession)}/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def discard_kept(spark: SparkSession) -> None:
+    """Delete the kept tables of this application, when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @dataclass(frozen=True)
@@ -68,36 +95,46 @@ class Slicing:
     keys: tuple[str, ...]
     column: str
     count: int  # number of keys
-    hot: DataFrame | None = None  # keys, _lo, _step, _cuts; at most MAX_HOT rows
+    hot: DataFrame | None = None  # keys, _bounds (where slices 1, 2, ... begin), _cuts (their number with slice 0)
+    slices: int = 0  # of all cut keys
+    longest: int = 0  # most slices of a key
 
     @classmethod
     def measure(cls, df: DataFrame, keys: list[str], position: str, column: str) -> Slicing:
         """Count the rows per key of any table and cut the heavy keys."""
-        counts = _counts(df, keys, position)
+        counts = _counts(df, keys)
         head = counts.agg(F.count("*").alias("keys"), F.max("_n").alias("peak")).first()
-        return cls._cut(counts, keys, column, head["keys"], head["peak"])
+        return cls._cut(df, counts, keys, position, column, head["keys"], head["peak"])
 
     @classmethod
-    def _cut(cls, counts: DataFrame, keys, column: str, count: int, peak: int | None) -> Slicing:
+    def _cut(cls, df: DataFrame, counts: DataFrame, keys, position: str, column: str, count: int, peak: int | None) -> Slicing:
         spark = counts.sparkSession
         limit = rows_per_slice(spark)
+        whole = cls(tuple(keys), column, count)
         if peak is None or peak <= limit:
-            return cls(tuple(keys), column, count)
-        # The MAX_HOT largest keys; any other key has fewer rows than each of them.
-        rows = counts.where(F.col("_n") > limit).orderBy(F.desc("_n"), *keys).limit(MAX_HOT).collect()
-        if not rows:
-            return cls(tuple(keys), column, count)
-        share = max(limit, sum(r["_n"] for r in rows) / MAX_HOT)
-        cuts = []
-        for r in rows:
-            parts = math.ceil(r["_n"] / share * SLICES_PER_SHARE)
-            if r["_hi"] > r["_lo"]:
-                cuts.append((*[r[k] for k in keys], r["_lo"], (r["_hi"] - r["_lo"]) / parts, parts))
-        if not cuts:
-            return cls(tuple(keys), column, count)
-        key_types = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
-        hot = spark.createDataFrame(cuts, f"{key_types}, _lo double, _step double, _cuts int")
-        return cls(tuple(keys), column, count, hot)
+            return whole
+        heavy = kept(counts.where(F.col("_n") > limit).select(*keys, "_n"))
+        size = heavy.agg(F.count("*").alias("keys"), F.max("_n").alias("peak")).first()
+        if not size["keys"]:
+            return whole
+        at = F.col(position).cast("double")
+        rows = df.select(*keys, at.alias("_at")).join(_hinted(heavy, size["keys"]), [*keys])
+        # All keys get the quantiles of the largest one; a smaller key takes its share of them.
+        most = math.ceil(size["peak"] / limit * SLICES_PER_SHARE)
+        quantiles = rows.groupBy(*keys).agg(
+            F.percentile_approx("_at", [k / most for k in range(1, most)], ACCURACY * most).alias("_all"),
+            F.min("_at").alias("_lo"), F.max("_n").alias("_n"))
+        parts = F.ceil(F.col("_n") / F.lit(limit) * SLICES_PER_SHARE)
+        chosen = F.transform(F.sequence(F.lit(1), parts - 1), lambda k: F.get("_all", F.round(k * F.lit(most) / parts).cast("int") - 1))
+        bounds = F.array_sort(F.array_distinct(F.filter(chosen, lambda b: b > F.col("_lo"))))
+        hot = kept(quantiles.withColumn("_bounds", bounds).where(F.size("_bounds") > 0).select(
+            *keys, "_bounds", (F.size("_bounds") + 1).alias("_cuts")))
+        slices, longest = hot.agg(F.coalesce(F.sum("_cuts"), F.lit(0)), F.coalesce(F.max("_cuts"), F.lit(0))).first()
+        return cls(tuple(keys), column, count, hot, slices, longest) if slices else whole
+
+    def hinted(self, table: DataFrame) -> DataFrame:
+        """A table with at most one row per slice of the cut keys, to be broadcast if that is few."""
+        return _hinted(table, self.slices)
 
     # ---- slices -------------------------------------------------------------
 
@@ -119,21 +156,23 @@ class Slicing:
         """Add the slice and the marker. The slice never decreases along `position` within a key."""
         if self.hot is None or self.column in df.columns:
             return df
-        part = F.floor((F.col(position) - F.col("_lo")) / F.col("_step")).cast("int")
-        part = F.greatest(F.lit(0), F.least(part, F.col("_cuts") - 1))
+        # Binary search for the number of bounds up to the position.
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(self.longest.bit_length()))])
+        at = F.col(position).cast("double")
+        part = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("_bounds", n + step - 1) <= at, n + step).otherwise(n))
         cut = F.col("_cuts").isNotNull()
-        out = df.join(F.broadcast(self.hot), [*self.keys], "left").withColumn(
+        out = df.join(self.hinted(self.hot), [*self.keys], "left").withColumn(
             self.column, F.when(cut & F.col(position).isNotNull(), part).otherwise(0))
         if self.marker[0] not in df.columns:
             out = out.withColumn(self.marker[0], cut)
-        return out.drop("_lo", "_step", "_cuts")
+        return out.drop("_bounds", "_cuts")
 
     def mark(self, df: DataFrame) -> DataFrame:
         """Add the marker alone, ahead of an aggregation whose result will be split."""
         if self.hot is None or self.marker[0] in df.columns:
             return df
         marks = self.hot.select(*self.keys, F.lit(True).alias("_cut"))
-        marked = df.join(F.broadcast(marks), [*self.keys], "left")
+        marked = df.join(self.hinted(marks), [*self.keys], "left")
         return marked.withColumn(self.marker[0], F.col("_cut").isNotNull()).drop("_cut")
 
     def window(self, *order: str) -> WindowSpec:
@@ -153,7 +192,7 @@ class Slicing:
         return kept(per_slice.select(*self.group, total("_value").over(over).alias("_carry")))
 
     def _attach(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(carry), self.group, "left")
+        return df.join(self.hinted(carry), self.group, "left")
 
     def _earlier(self) -> WindowSpec:
         slices = Window.partitionBy(*self.keys).orderBy(self.column)
@@ -223,7 +262,7 @@ class Slicing:
             return df.join(F.broadcast(table), on, how)
         if self.hot is None:
             return df.join(table, on, how)
-        parts = F.broadcast(self.hot.select(*on, "_cuts"))
+        parts = self.hinted(self.hot.select(*on, "_cuts"))
         salt = F.pmod(F.xxhash64(*df.columns), F.col("_cuts")).cast("int")
         left = df.join(parts, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_cuts")
         right = (
@@ -243,25 +282,24 @@ class Layout:
 
     @classmethod
     def measure(cls, spikes: DataFrame, position: str = "s") -> Layout:
-        files = _counts(spikes, ["fileName"], position, F.size(F.collect_set("channel_id")).alias("channels"))
+        files = _counts(spikes, ["fileName"], F.size(F.collect_set("channel_id")).alias("channels"))
         head = files.agg(
             F.count("*").alias("files"),
             F.coalesce(F.sum("channels"), F.lit(0)).alias("channels"),
             F.max("_n").alias("peak"),
         ).first()
-        recordings = Slicing._cut(files, ["fileName"], "recording_slice", head["files"], head["peak"])
+        recordings = Slicing._cut(spikes, files, ["fileName"], position, "recording_slice", head["files"], head["peak"])
         keys = ["fileName", "channel_id"]
         if head["peak"] is None or head["peak"] <= rows_per_slice(spikes.sparkSession):
             # No channel has more rows than its recording.
             return cls(recordings, Slicing(tuple(keys), "slice", head["channels"]))
-        # Only a recording above the limit can have a channel above it.
-        heavy = spikes if recordings.hot is None else recordings.only_hot(recordings.mark(spikes))
-        counts = _counts(heavy, keys, position)
-        return cls(recordings, Slicing._cut(counts, keys, "slice", head["channels"], head["peak"]))
+        counts = _counts(spikes, keys)
+        return cls(recordings, Slicing._cut(spikes, counts, keys, position, "slice", head["channels"], head["peak"]))
+
+
+def _counts(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(*more, F.count("*").alias("_n"))
 
 
-def _counts(df: DataFrame, keys: list[str], position: str, *more: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        *more,
-        F.count("*").alias("_n"), F.min(F.col(position).cast("double")).alias("_lo"),
-        F.max(F.col(position).cast("double")).alias("_hi"))
+def _hinted(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= broadcast_rows(table.sparkSession) else table

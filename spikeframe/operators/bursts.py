@@ -97,7 +97,7 @@ def label_spikes(
             )
             .where(F.col("_from") < F.col("_to"))
         )
-        sized = sized.join(F.broadcast(kept(crossing)), [*channels.keys, "run"], "left")
+        sized = sized.join(channels.hinted(kept(crossing)), [*channels.keys, "run"], "left")
         sized = sized.withColumns({
             "_starts": F.col("_starts") & F.coalesce(F.col(channels.column) == F.col("_from"), F.lit(True)),
             **{name: F.coalesce(F.col(f"{name}_all"), F.col(name)) for name in size},

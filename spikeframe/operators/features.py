@@ -74,7 +74,7 @@ def positional_isi(spikes: DataFrame, layout: Layout) -> DataFrame:
     channels = (
         positive.groupBy("fileName", "channel_id")
         .agg(F.count("*").alias("n"), F.avg("isi").alias("m"), F.var_samp("isi").alias("v"))
-        .join(F.broadcast(ordinals), "channel_id")
+        .join(ordinals, "channel_id")
     )
     # At most one row per electrode in each of these windows.
     upto = Window.partitionBy("fileName").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)

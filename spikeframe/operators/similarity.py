@@ -43,7 +43,7 @@ def _neighbours(points: DataFrame, layout: Layout) -> DataFrame:
     # One row per slice of a cut recording and channel.
     order = Window.partitionBy("fileName", "channel_id").orderBy(part)
     ends = ends.withColumns({"prev": F.lag(part).over(order), "next": F.lead(part).over(order)})
-    ends = ends.join(F.broadcast(recordings.hot.select("fileName", "_cuts")), "fileName")
+    ends = ends.join(recordings.hinted(recordings.hot.select("fileName", "_cuts")), "fileName")
     up_to = F.coalesce(F.col("next"), F.col("_cuts") - 1)
     down_to = F.coalesce(F.col("prev"), F.lit(0))
     after = ends.where(up_to > F.col(part)).select(

@@ -37,20 +37,40 @@ def test_a_heavy_channel_is_divided(spark, settings):
     sizes = split.groupBy("fileName", "slice").count().collect()
     assert sum(r["count"] for r in sizes) == 9000
     assert max(r["count"] for r in sizes if r.fileName == "hot") <= 500
-    assert len([r for r in sizes if r.fileName == "hot"]) == 6 * L.SLICES_PER_SHARE
+    assert len([r for r in sizes if r.fileName == "hot"]) == 6 * L.SLICES_PER_SHARE == layout.channels.slices
     assert all(r.slice == 0 for r in sizes if r.fileName != "hot")
     # Slices follow time.
     ends = split.where("fileName = 'hot'").groupBy("slice").agg(F.min("s").alias("a"), F.max("s").alias("b")).orderBy("slice").collect()
     assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
 
 
-def test_the_number_of_cut_keys_is_bounded(spark, settings, monkeypatch):
-    settings(ROWS_PER_SLICE_CONF, 10)
-    monkeypatch.setattr(L, "MAX_HOT", 3)
-    slicing = Slicing.measure(skewed(spark), ["fileName"], "s", "part")
-    rows = slicing.hot.collect()
-    assert len(rows) == 3 and "hot" in {r.fileName for r in rows}
-    assert sum(r._cuts for r in rows) <= 3 * (L.SLICES_PER_SHARE + 1)
+def slice_sizes(spark, times, limit):
+    df = spark.createDataFrame([("k", float(t)) for t in times], "key string, t double")
+    slicing = Slicing.measure(df, ["key"], "t", "part")
+    return [r["count"] for r in slicing.split(df, "t").groupBy("part").count().collect()]
+
+
+def test_cuts_follow_the_rows(spark, settings):
+    settings(ROWS_PER_SLICE_CONF, 500)
+    outlier = slice_sizes(spark, [k / 100 for k in range(20_000)] + [1e9], 500)
+    assert sum(outlier) == 20_001 and max(outlier) <= 1000
+    bunched = slice_sizes(spark, [k / 2000 for k in range(18_000)] + [9 + k / 2 for k in range(2000)], 500)
+    assert sum(bunched) == 20_000 and max(bunched) <= 1000
+
+
+def test_any_number_of_keys_is_cut(spark, settings):
+    """More heavy keys than fit any fixed list, and none of them broadcast."""
+    settings(ROWS_PER_SLICE_CONF, 3)
+    settings(BROADCAST_ROWS_CONF, 0)
+    df = spark.range(5000 * 8).select((F.col("id") % 5000).cast("string").alias("key"), (F.col("id") / 7).alias("t"))
+    slicing = Slicing.measure(df, ["key"], "t", "part")
+    assert slicing.hot.count() == 5000
+    sizes = slicing.split(df, "t").groupBy("key", "part").count()
+    assert sizes.agg(F.sum("count"), F.max("count")).first()[0] == 40_000
+    assert sizes.agg(F.max("count")).first()[0] <= 6
+    numbered = slicing.running_sum(slicing.split(df, "t"), "n", F.lit(1), "t")
+    last = numbered.groupBy("key").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d"))
+    assert last.where("n = 8 and d = 8").count() == 5000
 
 
 def test_equal_times_cannot_be_cut(spark, settings):
@@ -112,8 +132,24 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "LessThanOrEqual(s,5.0)" in text and "ReadSchema: struct<fileName:string,s:double>" in text
 
 
-def test_checkpoint_folder_of_the_session_is_used(spark, settings, tmp_path):
-    context = spark.sparkContext
+def test_tables_are_kept_in_the_shared_folder(spark, monkeypatch, tmp_path):
+    # The setting cannot be changed in a running session.
+    monkeypatch.setattr(L, "kept_folder", lambda _: f"file://{tmp_path}/spikeframe-x")
+    before = spark.sparkContext.getCheckpointDir()
     table = L.kept(spark.range(3).toDF("a"))
-    assert context.getCheckpointDir() is not None
     assert sorted(r.a for r in table.collect()) == [0, 1, 2]
+    assert table.inputFiles()[0].startswith("file:") and f"{tmp_path}/spikeframe-x" in table.inputFiles()[0]
+    assert spark.sparkContext.getCheckpointDir() == before
+    L.discard_kept(spark)
+    assert not list(tmp_path.iterdir())
+
+
+def test_scans_do_not_depend_on_the_session(spark, settings, tmp_path):
+    """Labelling with all keys cut reads the spikes a fixed number of times."""
+    spikes, _ = spike_table(spark, random_rows(seed=1))
+    spikes.write.parquet(str(tmp_path / "spikes"))
+    stored = spark.read.parquet(str(tmp_path / "spikes"))
+    settings(ROWS_PER_SLICE_CONF, 5)
+    layout = Layout.measure(stored)
+    text = plan(bursts.label_spikes(stored, layout))
+    assert text.count(f"{tmp_path}/spikes") <= 1
