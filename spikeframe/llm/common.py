@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spikeframe.layout import kept_folder
+
 # White space is \x20 and \x09-\x0D only.
 SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,13 +23,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only a local session without that setting, as in tests, gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spikeframe-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{kept_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(table: DataFrame, name: str) -> DataFrame:
@@ -88,8 +83,6 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, co
 def global_rank(table: DataFrame, name: str, *order: Column) -> DataFrame:
     """Add the position of a row in the whole order, from 0, without one task for all rows."""
     parts = kept(table.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
-    from pyspark.sql import Window
-
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = parts.groupBy("_part").agg(F.count("*").alias("_rows")).select(
         "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))

@@ -25,6 +25,7 @@ MAX_BITS = 2
 SEED = 42
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 13, 1 << 16, 1 << 12  # distinct fingerprints of a block, and the number of blocks aimed at
 SIGN = np.uint64(1 << 63)
+ONE_TASK = 1 << 20  # links (16 bytes each) of which one task finds the components
 FRAMES = 1 << 17  # node pairs that a task holds for one step
 
 
@@ -184,12 +185,25 @@ def links(distinct: DataFrame, rows: int, budget: int = MAX_BITS) -> DataFrame:
     return pairs.join(left, "i").join(right, "j").select("i", "j", "a", "b").mapInArrow(walk, "a long, b long")
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label of all edges of a partition."""
+    pairs = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
+    if pairs:
+        nodes, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        label = nodes[_forest(len(nodes), at.reshape(-1, 2))]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Per node of the edges: node, label, where label is the smallest node of its component.
 
-    Each round takes over the smallest label of the neighbours, then the label of the label; rounds end
-    when nothing changes. Every round is written, so none is computed twice.
+    Edges are counted. Up to ONE_TASK of them fit a task, which spares the rounds. Beyond that each
+    round takes over the smallest label of the neighbours, then the label of the label, until nothing
+    changes; every round is written, so none is computed twice. Both ways give the same labels.
     """
+    edges = kept(edges, "links")
+    if edges.count() <= ONE_TASK:
+        return kept(edges.coalesce(1).mapInArrow(_labels, "node long, label long"), "labels")
     both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
                   .withColumn("label", F.least("node", "label")), "labels")
