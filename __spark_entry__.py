@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
 from spikeframe import schemas  # noqa: E402
-from spikeframe.layout import Layout  # noqa: E402
+from spikeframe.layout import Layout, kept  # noqa: E402
 from spikeframe.operators import (  # noqa: E402
     bursts as B, channels as C, distributions as D, electrodes as E, features as X,
     filters as FL, groups as G, similarity as S, synchrony as Y,
@@ -63,7 +63,9 @@ class Data:
 
     def synced(self) -> DataFrame:
         """Spike, burst and both synchrony feature sets with all ratios."""
-        out = Y.sync_burst_features(self.features(), self.bursts(), self.layout, 5)
+        bursts = kept(self.bursts())  # found once, read three times
+        out = X.burst_features(self.summary(), bursts, self.layout)
+        out = Y.sync_burst_features(out, bursts, self.layout, 5)
         return X.norm_prop(Y.sync_spike_features(out, self.spikes, self.layout, 0.1), param_sync=True)
 
 
@@ -126,7 +128,7 @@ def _export_lines(d: Data) -> DataFrame:
 
 def _ingest(d: Data) -> DataFrame:
     parsed = R.stamp_recordings(R.parse_lines(_export_lines(d)), d.meta)
-    spikes, layout = R.finish_spikes(parsed, d.meta)
+    spikes, layout = R.finish_spikes(kept(parsed), d.meta)
     channels = layout.channels
     return channels.running_sum(channels.split(spikes, "s"), "nth", F.lit(1), "s", "seq").select(
         *[c for c in SPIKES if c != "seq"], "nth")

@@ -6,8 +6,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from ..layout import Layout
-from ..operators.bursts import find_bursts, label_spikes
+from ..layout import Layout, kept
+from ..operators.bursts import bursts_of, label_spikes
 from ..operators.features import burst_features, norm_prop, spike_features
 from ..operators.filters import active_filter, channel_filter, length_filter
 from ..operators.synchrony import (
@@ -42,10 +42,27 @@ class Analysis:
 def detect_bursts(
     spikes: DataFrame, layout: Layout,
     isi_threshold: float = 50, spikes_per_burst: int = 5, burst_duration_max: float | None = None,
+    directory: str | None = None, prefix: str = "",
 ) -> Analysis:
-    """Label the spikes and collect the bursts."""
-    how = dict(isi_threshold=isi_threshold, spikes_per_burst=spikes_per_burst, burst_duration_max=burst_duration_max)
-    return Analysis(label_spikes(spikes, layout, **how), find_bursts(spikes, layout, **how), None, layout)
+    """Label the spikes and collect the bursts.
+
+    The labelled spikes are written once, as the burst stage or else to the shared
+    folder, and the bursts are an aggregation of the written table.
+    """
+    labelled = label_spikes(spikes, layout, isi_threshold, spikes_per_burst, burst_duration_max)
+    if directory is None:
+        labelled = kept(labelled)
+        return Analysis(labelled, bursts_of(labelled), None, layout)
+    labelled = _staged(labelled, "spikes", directory, "bursts", prefix)
+    return Analysis(labelled, _staged(bursts_of(labelled), "bursts", directory, "bursts", prefix), None, layout)
+
+
+def _staged(table: DataFrame, name: str, directory: str | None, stage: str, prefix: str) -> DataFrame:
+    """The table, written as part of a stage and read back if there is a directory."""
+    if directory is None:
+        return table
+    path = write_stage({name: table}, directory, stage, prefix)
+    return table.sparkSession.read.parquet(f"{path}/{name}")
 
 
 def add_features(analysis: Analysis, isi_mode: str = "pooled", per_minute: bool = False) -> Analysis:
@@ -74,20 +91,26 @@ def run(
     spikes: DataFrame, meta: DataFrame, layout: Layout,
     max_duration: float | None = 300, active_threshold: float = 0.01, active_inclusive: bool = False,
     isi_threshold: float = 50, spikes_per_burst: int = 5, burst_duration_max: float | None = None,
+    isi_mode: str = "pooled", per_minute: bool = False, strict: bool = False, synchrony: dict | None = None,
     directory: str | None = None, prefix: str = "",
 ) -> Analysis:
     """Filter the channels, the length and the activity, find bursts and extract all features.
 
-    With a directory, the burst stage is written there once and the features
-    read it; without one everything stays lazy.
+    `isi_mode`, `per_minute` and `strict` go to the features; `synchrony` holds the
+    arguments of `add_synchrony`, which is left out without it. With a directory
+    every stage from the bursts on is written there, and the next one reads it.
     """
     spikes = channel_filter(spikes, meta, layout)
     spikes = length_filter(spikes, max_duration)
     spikes = active_filter(spikes, layout, active_threshold, active_inclusive)
-    analysis = detect_bursts(spikes, layout, isi_threshold, spikes_per_burst, burst_duration_max)
-    if directory is not None:
-        analysis = analysis.write(directory, "bursts", prefix)
-    analysis = add_features(analysis)
-    if directory is not None:
-        write_stage({"summary": analysis.summary}, directory, "norm", prefix)
-    return analysis
+    analysis = detect_bursts(spikes, layout, isi_threshold, spikes_per_burst, burst_duration_max, directory, prefix)
+    summary = _staged(spike_features(analysis.spikes, layout, isi_mode), "summary", directory, "spike_features", prefix)
+    summary = burst_features(summary, analysis.bursts, layout, per_minute, strict)
+    summary = _staged(summary, "summary", directory, "burst_features", prefix)
+    analysis = replace(analysis, summary=norm_prop(summary))
+    if synchrony is not None:
+        analysis = add_synchrony(analysis, **synchrony)
+        analysis = replace(
+            analysis, bursts=_staged(analysis.bursts, "bursts", directory, "sync_bursts", prefix),
+            spikes=_staged(analysis.spikes, "spikes", directory, "sync_spikes", prefix))
+    return replace(analysis, summary=_staged(analysis.summary, "summary", directory, "norm", prefix))

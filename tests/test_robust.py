@@ -8,8 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from test_sources import EXPORT, META, write
 
+from spikeframe.layout import Layout
 from spikeframe.operators import bursts, channels, distributions, electrodes, features, filters, groups
-from spikeframe.sources import metadata, recordings
+from spikeframe.plans import analysis
+from spikeframe.sources import metadata, recordings, snapshots
 
 
 def test_near_constant_intervals_keep_their_spread(spark):
@@ -129,3 +131,50 @@ def test_the_ks_method_is_chosen(spark):
     assert exact.D == limit.D and exact.p_value != limit.p_value and close(exact.p_value, limit.p_value, 0.2)
     with pytest.raises(ValueError):
         distributions.ks_test(rates, method="auto")
+
+
+def test_bursts_of_labelled_spikes(spark, settings):
+    rows = random_rows(seed=9, most=200)
+    for size in (4_000_000, 15):
+        settings("spark.spikeframe.rowsPerSlice", size)
+        spikes, layout = spike_table(spark, rows)
+        for longest in (None, 0.2):
+            found = bursts.find_bursts(spikes, layout, burst_duration_max=longest)
+            labelled = bursts.bursts_of(bursts.label_spikes(spikes, layout, burst_duration_max=longest))
+            key = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+            assert key(found) == key(labelled) and found.columns == labelled.columns
+
+
+def scans(df, path):
+    return df._jdf.queryExecution().executedPlan().toString().count(path)
+
+
+def test_an_analysis_reads_the_spikes_once(spark, tmp_path):
+    rows = random_rows(seed=3, most=200)
+    spike_table(spark, rows, layout=False).write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    meta = spark.createDataFrame([("m", f"file_{k}", "WT", 300.0, None, None) for k in range(3)], META)
+    result = analysis.run(stored, meta, Layout.measure(stored), active_threshold=0)
+    # Only the written table with the labels is left in the plan: for the spikes and for the bursts.
+    assert scans(result.summary, f"{tmp_path}/stored") == 0
+    assert result.summary._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+
+
+def test_options_of_a_run(spark, tmp_path):
+    rows = random_rows(seed=3, most=200)
+    spikes, layout = spike_table(spark, rows)
+    meta = spark.createDataFrame([("m", f"file_{k}", "WT", 300.0, None, None) for k in range(3)], META)
+    run = lambda **how: analysis.run(spikes, meta, layout, active_threshold=0, **how)
+    by_file = lambda a: {r.fileName: r for r in a.summary.collect()}
+    plain, minutes, placed = by_file(run()), by_file(run(per_minute=True)), by_file(run(isi_mode="positional"))
+    for name, row in plain.items():
+        assert close(minutes[name].burstRate_mean, 3600 * row.burstRate_mean)
+        assert placed[name].isi_mean != row.isi_mean
+    with pytest.raises(ValueError, match="no bursts"):
+        run(spikes_per_burst=10_000, strict=True)
+    synced = run(synchrony={"syncburst_window": 1, "run_syncspike_id": True}, directory=str(tmp_path), prefix="P5")
+    assert "syncspike_id" in synced.spikes.columns and "syncburst_id" in synced.bursts.columns
+    assert "syncburst_countNEW" in synced.summary.columns
+    for stage, table in (("bursts", "spikes"), ("bursts", "bursts"), ("spike_features", "summary"), ("burst_features", "summary"),
+                         ("sync_bursts", "bursts"), ("sync_spikes", "spikes"), ("norm", "summary")):
+        assert snapshots.read_stage(spark, str(tmp_path), stage, table, "P5").count() > 0
