@@ -37,9 +37,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Generators of candidates: wider, and they may overlap.
-_WRITTEN_AT = re.compile(r"[\w.%+-]{1,64} ?[\[(]at[\])] ?[\w-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]{1,63}){1,4}")
+_WRITTEN_AT = re.compile(r"[\[(]at[\])]")
+_WRITTEN_LOCAL = re.compile(r"[\w.%+-]{1,64} ?$")
+_WRITTEN_DOMAIN = re.compile(r" ?[\w-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]{1,63}){1,4}")
 _NUMBER = re.compile(r"(?<![\w.])[+(]?[0-9][0-9 ().-]{5,40}[0-9](?!\w)")
 _DIGITS = re.compile(r"[^0-9]+")
+_DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[str, int, int]
 
@@ -63,6 +66,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     """All base spans, by kind in order and by start."""
     spans = [("email", i, j) for i, j in _emails(text)]
+    if not _DIGIT.search(text):
+        return spans
     for m in _IP.finditer(text):
         if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.group().split(".")):
             spans.append(("ip", *m.span()))
@@ -78,7 +83,14 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[Span]:
     """Spans at high recall: each number as a card and as a phone, addresses written out, base forms that failed."""
-    spans = [("email", *m.span()) for m in _WRITTEN_AT.finditer(text)]
+    spans = []
+    for m in _WRITTEN_AT.finditer(text):
+        start = max(0, m.start() - 65)
+        local, domain = _WRITTEN_LOCAL.search(text[start:m.start()]), _WRITTEN_DOMAIN.match(text, m.end())
+        if local and domain:
+            spans.append(("email", start + local.start(), domain.end()))
+    if not _DIGIT.search(text):
+        return spans
     spans += [("ip", *m.span()) for m in _IP.finditer(text)]
     for m in _NUMBER.finditer(text):
         spans += [("card", *m.span()), ("phone", *m.span())]
