@@ -188,7 +188,7 @@ def test_quality_rules_in_any_order(spark):
     rules = list(quality_rules.BASE + quality_rules.ADDED)
     for _ in range(3):
         rng.shuffle(rules)
-        got = df.select("doc_id", quality_rules.first_rejection(rules).isNull().alias("kept")).collect()
+        got = df.select("doc_id", quality_rules.first_rejection_of_text(rules).isNull().alias("kept")).collect()
         assert {r.doc_id: r.kept for r in got} == want
 
 
