@@ -11,8 +11,10 @@ trains, the other calibrates the thresholds. Scoring is one pass over the texts
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,9 +26,11 @@ from spikeframe.llm.common import sample_texts
 
 KINDS = ("email", "ip", "card", "phone")  # fixed order of spans
 SAMPLE_ROWS = 4000  # texts that train and calibrate
-TREES, DEPTH, STEP, SEED = 20, 3, 0.3, 7
+TREES, DEPTH, STEP, SEED = 40, 4, 0.3, 7
 PRECISION = 0.98  # of added spans, on the calibration half
+SCORED = 4096  # candidates scored at a time
 CONTEXT = 24  # characters on either side
+TEXT_CANDIDATES, TEXT_SPANS, LONGEST, FORMS = 64, 8, 200, 4  # of a text in training: plain candidates, rewritten spans, characters and forms of one
 
 # Base patterns (fixed values), in forms whose search is linear: the local part of an address is looked
 # for backwards from its @, and a number begins where no digit stands before.
@@ -36,13 +40,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Generators of candidates: wider, and they may overlap.
-_WRITTEN_AT = re.compile(r"[\[(]at[\])]")
-_WRITTEN_LOCAL = re.compile(r"[\w.%+-]{1,64} ?$")
-_WRITTEN_DOMAIN = re.compile(r" ?[\w-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]{1,63}){1,4}")
-_NUMBER = re.compile(r"(?<![\w.])[+(]?[0-9][0-9 ().-]{5,40}[0-9](?!\w)")
+# Generators of candidates: wider, and they overlap.
+_WRITTEN_AT = re.compile(r" ?[\[({<] ?(?:at|@) ?[\])}>] ?| at | ?@ ?", re.IGNORECASE)
+_WRITTEN_DOT = r" ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot "
+_DOT_BEFORE = re.compile(f"(?:{_WRITTEN_DOT})$", re.IGNORECASE)
+_DOT = re.compile(rf"\.(?=\w)|{_WRITTEN_DOT}", re.IGNORECASE)
+_SPACED_DOT = re.compile(rf"{_WRITTEN_DOT}| ?\. ?", re.IGNORECASE)
+_LABEL = re.compile(r"[\w-]{1,63}")
+_LOCAL_CHAR = re.compile(r"[\w.%+-]")
+LABELS, LOCAL_PARTS = 5, 3  # of a written address
+_STRETCH = re.compile(r"[0-9][0-9 ()+.-]*")
+_GROUP = re.compile(r"[0-9]+")
+_CARD_DIGITS, _PHONE_DIGITS = (12, 19), (7, 15)  # digits of a candidate
 _DIGITS = re.compile(r"[^0-9]+")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS_ONLY = frozenset("0123456789")
 
 Span = tuple[str, int, int]
 
@@ -81,20 +93,79 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def candidates(text: str) -> list[Span]:
-    """Spans at high recall: each number as a card and as a phone, addresses written out, base forms that failed."""
-    spans = []
+def _local_starts(text: str, end: int) -> Iterator[int]:
+    """Where the local part of a written address may begin, with the parts that a written dot joins to it."""
+    for _ in range(LOCAL_PARTS):
+        start = end
+        while start > max(0, end - 64) and _LOCAL_CHAR.match(text[start - 1]):
+            start -= 1
+        if start == end:
+            return
+        yield start
+        dot = _DOT_BEFORE.search(text[max(0, start - 9):start])
+        if not dot:
+            return
+        end = start - len(dot.group())
+
+
+def _domain_ends(text: str, start: int, dot: re.Pattern) -> Iterator[tuple[int, bool]]:
+    """Where the domain of a written address may end, and whether a dot in it is written out."""
+    written, label = False, _LABEL.match(text, start)
+    for _ in range(LABELS - 1):
+        joint = label and dot.match(text, label.end())
+        label = joint and _LABEL.match(text, joint.end())
+        if not label:
+            return
+        written = written or joint.group() != "."
+        yield label.end(), written
+
+
+def _numbers(text: str) -> Iterator[Span]:
+    """Of each stretch of digits the spans between the limits of its groups, also from a + or a bracket before one.
+
+    A span has the digits of a card or a phone number, so a group begins at most 17 of them in each form.
+    """
+    least, most = min(_CARD_DIGITS[0], _PHONE_DIGITS[0]), max(_CARD_DIGITS[1], _PHONE_DIGITS[1])
+    for stretch in _STRETCH.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *stretch.span())]
+        for k, (i, _) in enumerate(groups):
+            if groups[-1][1] - i < least or i and (text[i - 1].isalpha() or text[i - 1] == "_"):
+                continue
+            before = text[max(0, i - 2):i]
+            starts = [i, *([i - 1] if before[-1:] in ("+", "(") else []), *([i - 2] if before in ("(+", "+(") else [])]
+            digits = 0
+            for low, high in groups[k:k + most]:
+                digits += high - low
+                if digits > most:
+                    break
+                if digits < least or text[high:high + 1].isalpha() or text[high:high + 1] == "_":
+                    continue
+                for kind, (few, many) in (("card", _CARD_DIGITS), ("phone", _PHONE_DIGITS)):
+                    if few <= digits <= many:
+                        yield from ((kind, start, high) for start in starts)
+
+
+def _candidates(text: str) -> Iterator[Span]:
     for m in _WRITTEN_AT.finditer(text):
-        start = max(0, m.start() - 65)
-        local, domain = _WRITTEN_LOCAL.search(text[start:m.start()]), _WRITTEN_DOMAIN.match(text, m.end())
-        if local and domain:
-            spans.append(("email", start + local.start(), domain.end()))
-    if not _DIGIT.search(text):
-        return spans
-    spans += [("ip", *m.span()) for m in _IP.finditer(text)]
-    for m in _NUMBER.finditer(text):
-        spans += [("card", *m.span()), ("phone", *m.span())]
-    return spans
+        sign = m.group()
+        ends = list(_domain_ends(text, m.end(), _SPACED_DOT if sign.strip(" ")[0] in "[({<" else _DOT))
+        starts = list(_local_starts(text, m.start())) if ends else []
+        yield from (("email", i, j) for i in starts for j, written in ends if sign != "@" or written)
+    if _DIGIT.search(text):
+        yield from (("ip", *m.span()) for m in _IP.finditer(text))
+        yield from _numbers(text)
+
+
+def candidates(text: str) -> list[Span]:
+    """Overlapping spans at high recall: written addresses with each possible start and end, base ips that failed,
+    and all numbers within a stretch of digits, as a card and as a phone."""
+    return list(_candidates(text))
+
+
+def _gap(near: str) -> int:
+    """How far the next digit of the same stretch is, up to 9."""
+    rest = near.lstrip(" ().+-")
+    return min(len(near) - len(rest), 9) if rest[:1] in _DIGITS_ONLY else 9
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -102,7 +173,8 @@ def features(text: str, span: Span) -> list[float]:
     kind, i, j = span
     body = text[i:j]
     digits = _DIGITS.sub("", body)
-    groups = [len(g) for g in re.findall("[0-9]+", body)] or [0]
+    groups = [len(g) for g in _GROUP.findall(body)] or [0]
+    words = _LABEL.findall(body) or [""]
     before, after = text[max(0, i - CONTEXT):i], text[j:j + CONTEXT]
     return [
         KINDS.index(kind), j - i, len(digits), len(groups), max(groups), min(groups), len(digits) / (j - i),
@@ -111,6 +183,10 @@ def features(text: str, span: Span) -> list[float]:
         float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
         sum(c.isdigit() for c in before) / CONTEXT, sum(c.isdigit() for c in after) / CONTEXT,
         sum(c.isalpha() for c in before) / CONTEXT, float(":" in before[-3:]), len(set(body)) / (j - i),
+        groups[0], groups[-1], groups[-2] if len(groups) > 1 else 0, _gap(before[::-1]), _gap(after), float(before[-1:] in ("+", "(")),
+        float(after[:1] in (")", ".", "-")), len({c for c in body if c in " .-()"}),
+        float("@" in body), sum(body.count(c) for c in "[({<"), len(words), len(words[0]), len(words[-1]),
+        float(words[-1].islower() and words[-1].isalpha()), float(kind == "email" and any(c in ".0123456789_+" for c in body.split(" ")[0])),
     ]
 
 
@@ -134,63 +210,94 @@ class Model:
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Candidates above their threshold that touch no base span; of those that overlap, the best."""
-        found = candidates(text)
-        if not found:
-            return []
-        scores = self.score(np.array([features(text, s) for s in found]))
-        taken: list[Span] = []
         near = sorted(base, key=lambda s: s[1])
         starts, ends = [s[1] for s in near], np.maximum.accumulate([s[2] for s in near]) if near else []
-        best = sorted((-score, s) for score, s in zip(scores, found) if score > self.thresholds[KINDS.index(s[0])])
+        limits = dict(zip(KINDS, self.thresholds))
+        found = (s for s in _candidates(text) if limits[s[0]] < np.inf and _clear(starts, ends, s[1], s[2]))
+        best = []
+        while some := list(islice(found, SCORED)):  # bounded, however many numbers a text lists
+            scores = self.score(np.array([features(text, s) for s in some]))
+            best += [(-score, s[1] - s[2], s) for score, s in zip(scores, some) if score > limits[s[0]]]
+        taken: list[Span] = []
         free = _Free(starts, ends)
-        for _, s in best:
+        for *_, s in sorted(best):  # of equal scores the longest
             if free.add(s[1], s[2]):
                 taken.append(s)
         return taken
 
 
+def _clear(starts, ends, start: int, end: int) -> bool:
+    """Whether a range touches none of the sorted ranges."""
+    k = bisect_left(starts, end)
+    return not k or ends[k - 1] <= start
+
+
 class _Free:
     """Ranges that are taken already; add() takes one if it is free."""
 
     def __init__(self, starts, ends):
-        import bisect
-
-        self.bisect, self.base_starts, self.base_ends = bisect, starts, ends
+        self.base_starts, self.base_ends = starts, ends
         self.starts: list[int] = []
         self.ends: list[int] = []
 
     def add(self, start: int, end: int) -> bool:
-        k = self.bisect.bisect_left(self.base_starts, end)
-        if k and self.base_ends[k - 1] > start:
+        if not _clear(self.base_starts, self.base_ends, start, end) or not _clear(self.starts, self.ends, start, end):
             return False
-        k = self.bisect.bisect_left(self.starts, end)
-        if k and self.ends[k - 1] > start:
-            return False
-        k = self.bisect.bisect_left(self.starts, start)
+        k = bisect_left(self.starts, start)
         self.starts.insert(k, start)
         self.ends.insert(k, end)
         return True
 
 
-def _rewritten(text: str, span: Span, turn: int) -> tuple[str, Span, bool]:
-    """The text with the span in another form, the new span, and whether it is still personal data."""
-    kind, i, j = span
-    body = text[i:j]
+def _written_email(body: str, turn: int) -> tuple[str, bool]:
+    local, _, domain = body.partition("@")
+    local, first = local[-64:], domain.split(".")[0]
+    forms = [
+        (f"{local} (at) {domain}", True), (f"{local} [at] {domain.replace('.', ' [dot] ')}", True),
+        (f"{local} (at) {domain.replace('.', ' (dot) ')}", True), (f"{local}(AT){domain}", True),
+        (f"{local} at {domain.replace('.', ' dot ')}", True), (f"{local} AT {domain.replace('.', ' DOT ')}", True),
+        (f"{local} @ {domain}", True), (f"{local}@{domain.replace('.', ' (dot) ')}", True),
+        (f"{local.replace('.', ' dot ')} at {domain.replace('.', ' dot ')}", True), (f"{local} at {domain}", True),
+        (f"{local}{{at}}{domain.replace('.', '{dot}')}", True), (f"look at {domain}", False), (f"is at {first} dot", False),
+    ]
+    return forms[turn % len(forms)]
+
+
+def _written_phone(body: str, turn: int) -> tuple[str, bool]:
+    own = _GROUP.findall(body)
+    short = own[1:] if len(own) > 2 and sum(map(len, own[1:])) >= 8 else own  # without the country
+    forms = [
+        (body.lstrip("+"), True), ("-".join(short), True), ("".join(own), False),  # bare digits say nothing
+        (f"({short[0]}) " + "-".join(short[1:]) if len(short) > 1 else body.lstrip("+"), True), (".".join(short), True),
+        (" ".join(short), True), ("-".join(own), True), (body, True), (" ".join(own), True),
+    ]
+    return forms[turn % len(forms)]
+
+
+def _rewritten(span: Span, body: str, turn: int) -> list[tuple[str, bool]]:
+    """Pieces that stand for a span: it in another form, and numbers next to it; each with whether it is personal data."""
+    kind = span[0]
     if kind == "email":
-        local, _, domain = body.partition("@")
-        new, good = f"{local[:64]} (at) {domain.replace('.', ' (dot) ' if turn % 2 else '.')}", True
-    elif kind == "phone":
-        new, good = body.lstrip("+"), True
-        if turn % 3 == 2:
-            new, good = _DIGITS.sub("", body), False  # bare digits say nothing
-    elif kind == "card":
+        return [_written_email(body, turn)]
+    if kind == "ip":
+        return [(body.rpartition(".")[0] + ".999", False)]
+    if kind == "phone":
+        one, good = _written_phone(body, turn)
         digits = _DIGITS.sub("", body)
-        new, good = "-".join(digits[k:k + 4] for k in range(0, 16, 4))[:15] + "-0000", False
-        if turn % 2:
-            new = digits[:-1] + str((int(digits[-1]) + 1 + turn % 8) % 10)  # a wrong check digit
+        other = _written_phone(body[:-4] + f"{(int(digits[-4:]) * 7 + turn) % 10000:04}", turn)
     else:
-        new, good = body.rpartition(".")[0] + ".999", False
-    return text[:i] + new + text[j:], (kind, i, i + len(new)), good
+        digits = _DIGITS.sub("", body)
+        joint = (".", "  ", " - ")[turn % 3]
+        one, good = joint.join(digits[k:k + 4] for k in range(0, len(digits), 4)), True
+        if turn % 4 == 3:
+            one, good = digits[:-1] + str((int(digits[-1]) + 1 + turn % 8) % 10), False  # a wrong check digit
+        other = (one[::-1], False) if luhn(_DIGITS.sub("", one[::-1])) is False else (str(turn % 100), False)
+    year, few, space = str(1950 + turn * 13 % 100), str(turn * 7 % 60 + 1), (" ", False)
+    return [
+        [(one, good)], [(year, False), space, (one, good)], [(one, good)], [(year, False), space, (one, good)], [(one, good), (". ", False), (few, False)],
+        [(one, good), space, other], [(f"{few}) ", False), (one, good)], [(one, good), (" ", False), (year, False)],
+        [other, (", ", False), (one, good), space, other], [(f"{few}. ", False), (one, good)],
+    ][turn // 9 % 10]
 
 
 def examples(texts: list[str]) -> pd.DataFrame:
@@ -199,14 +306,23 @@ def examples(texts: list[str]) -> pd.DataFrame:
     for number, text in enumerate(texts):
         base = base_spans(text)
         known = set(base)
-        for s in candidates(text):
+        found = candidates(text)
+        for s in found[:: -(-len(found) // TEXT_CANDIDATES) or 1]:
             rows.append((number, s[0], features(text, s), float(s in known)))
-        for turn, span in enumerate(base):
-            changed, new, good = _rewritten(text, span, number + turn)
-            for s in candidates(changed[max(0, new[1] - 200):new[2] + 200]):
-                at = (s[0], s[1] + max(0, new[1] - 200), s[2] + max(0, new[1] - 200))
-                if at[1] < new[2] and new[1] < at[2]:
-                    rows.append((number, s[0], features(changed, at), float(good and at == new)))
+        for turn, span in enumerate([s for s in base if s[2] - s[1] <= LONGEST][:TEXT_SPANS]):
+            kind, i, j = span
+            before, after = text[max(0, i - 200):i], text[j:j + 200]
+            for form in range(FORMS):
+                pieces = _rewritten(span, text[i:j], number * 5 + turn * 11 + form * 29)
+                at, right = len(before), set()
+                for piece, good in pieces:
+                    if good:
+                        right.add((kind, at, at + len(piece)))
+                    at += len(piece)
+                changed = before + "".join(piece for piece, _ in pieces) + after
+                for s in candidates(changed):
+                    if s[1] < at and len(before) < s[2]:
+                        rows.append((number, s[0], features(changed, s), float(s in right)))
     return pd.DataFrame(rows, columns=["text", "kind", "x", "label"])
 
 

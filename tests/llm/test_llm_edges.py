@@ -90,6 +90,28 @@ def test_pii_adds_written_out_forms(spark):
     assert model.added("in 2019 we saw 12345 of them, 3.14 at most", []) == []
 
 
+def test_pii_proposes_each_number_of_a_line():
+    for text, want in (
+        ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("Call 555-123-4567. 3 people", ["555-123-4567"]),
+        ("2021 555-123-4567", ["555-123-4567"]), ("(017) 555-7713, 1. (018) 555-7714", ["(017) 555-7713", "(018) 555-7714"]),
+        ("+1 (017) 555-7713 +1 (018) 555-7714", ["+1 (017) 555-7713", "+1 (018) 555-7714"])):
+        assert set(want) <= {text[i:j] for k, i, j in pii.candidates(text) if k == "phone"}, text
+    text = "4111.1111.1111.1111 12 4111  1111  1111  1111"
+    assert {"4111.1111.1111.1111", "4111  1111  1111  1111"} <= {text[i:j] for k, i, j in pii.candidates(text) if k == "card"}
+    for text in ("jo [AT] x.org", "jo AT x DOT org", "jo dot b at x dot org", "jo{at}x{dot}org", "jo @ x.org", "jo@x (dot) org", "jo(At)x.org"):
+        whole = f"ask {text}. Then go"
+        assert text in {whole[i:j] for k, i, j in pii.candidates(whole) if k == "email"}, text
+    assert len(pii.candidates("1 " * 20_000)) < 18 * 20_000
+
+
+def test_pii_adds_each_number_of_a_line(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for text, want in (
+        ("ring 555-123-4567 555-987-6543 now", ["555-123-4567", "555-987-6543"]),
+        ("ring 555-123-4567. 3 people", ["555-123-4567"]), ("in 2021 555-123-4567 was", ["555-123-4567"])):
+        assert sorted(text[i:j] for _, i, j in model.added(text, pii.base_spans(text))) == sorted(want), text
+
+
 def test_redact():
     assert pii.redact("ab cd ef", [("ip", 0, 2), ("card", 1, 5), ("email", 6, 8)]) == "[ip] [email]"
 
