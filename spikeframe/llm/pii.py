@@ -2,8 +2,8 @@
 
 Base spans follow fixed patterns and always stay. Beyond them, generators propose overlapping spans
 at high recall, gradient-boosted trees score each by format and context, and the spans above their
-kind's threshold are added. The trees are trained on a bounded sample of texts: base spans and
-rewritten forms of them (a phone number without its +, an address written out) are the positive
+kind's threshold are added. The trees are trained on a bounded sample of texts, which a hash picks from
+the whole table and which prefers texts with base spans of each kind: base spans and rewritten forms of them (a phone number without its +, an address written out) are the positive
 examples, all other candidates and damaged base spans the negative ones. One half of the texts
 trains, the other calibrates the thresholds. Scoring is one pass over the texts without a shuffle.
 """
@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeframe.llm.common import sample_texts
-
 KINDS = ("email", "ip", "card", "phone")  # fixed order of spans
-SAMPLE_ROWS = 4000  # texts that train and calibrate
+SAMPLE_ROWS = 4000  # pieces that train and calibrate, a fifth for each kind and for texts without base spans
+PIECE = 4096  # characters of a piece: a whole text, or a window of a longer one
 TREES, DEPTH, STEP, SEED = 40, 4, 0.3, 7
 PRECISION = 0.98  # of added spans, on the calibration half
 SCORED = 4096  # candidates scored at a time
@@ -326,9 +325,70 @@ def examples(texts: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "kind", "x", "label"])
 
 
+def _spans_by_kind(text: str) -> dict[str, list[Span]]:
+    by = {kind: [] for kind in KINDS}
+    for s in base_spans(text):
+        by[s[0]].append(s)
+    return by
+
+
+def _pieces(text: str, u: float, shares: dict[str, float]) -> Iterator[tuple[str, str]]:
+    """(kind, piece) of a text for the kinds whose share it falls in; a kind of "" stands for no base spans."""
+    by = _spans_by_kind(text)
+    by = {kind: spans for kind, spans in by.items() if spans} or {"": []}
+    for kind, spans in by.items():
+        if u < shares[kind]:
+            pick = int(u * 2**53)
+            at = (spans[pick % len(spans)][1] - PIECE // 2) if spans else pick % max(1, len(text) - PIECE + 1)
+            at = max(0, min(at, len(text) - PIECE))
+            yield kind, text[at:at + PIECE]
+
+
+def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
+    """At most `rows` texts of all partitions, in an order that a hash of doc_id and text sets, so that files do not matter.
+
+    Each kind of base span, and texts without any, fill up to a fifth, by a share of the hash that follows from
+    the counts of the whole table; a rare kind is taken whole. A text above PIECE characters gives a window of so
+    many around one of its spans, so at most rows * PIECE characters train.
+    """
+    each, names = -(-rows // (len(KINDS) + 1)), [*KINDS, ""]
+    hashed = docs.select((F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))).alias("u"),
+                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    columns = [f"n{k}" for k in range(len(names))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals = [0] * len(names)
+            for text in batch.column(0).to_pylist():
+                found = [kind for kind, spans in _spans_by_kind(text).items() if spans] or [""]
+                for kind in found:
+                    totals[names.index(kind)] += 1
+            yield pa.RecordBatch.from_pydict({c: [n] for c, n in zip(columns, totals)})
+
+    counted = hashed.select("text").mapInArrow(count, ", ".join(f"{c} long" for c in columns))
+    totals = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).first()
+    shares = {kind: min(1.0, 1.5 * each / n) if n else 1.0 for kind, n in zip(names, totals)}
+    while True:
+        def take(batches: Iterator[pa.RecordBatch], shares=shares) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(u, *p) for u, text in zip(*(c.to_pylist() for c in batch.columns)) for p in _pieces(text, u, shares)]
+                yield pa.RecordBatch.from_pydict({"u": [r[0] for r in out], "kind": [r[1] for r in out], "piece": [r[2] for r in out]},
+                                                 pa.schema([("u", pa.float64()), ("kind", pa.string()), ("piece", pa.string())]))
+
+        most = max(share for share, n in zip(shares.values(), totals) if n) if any(totals) else 0.0
+        found = hashed.where(F.col("u") < most).mapInArrow(take, "u double, kind string, piece string")
+        found = sorted(map(tuple, found.groupBy("kind", "piece").agg(F.min("u").alias("u")).select("u", "piece", "kind").collect()))
+        by = {kind: [(u, piece) for u, piece, k in found if k == kind][:each] for kind in names}
+        few = {kind for kind, n in zip(names, totals) if n and len(by[kind]) < each and shares[kind] < 1}
+        if not few:  # else many of the counted texts are copies
+            break
+        shares = {kind: min(1.0, 8 * share) if kind in few else share for kind, share in shares.items()}
+    return list(dict.fromkeys(piece for _, piece in sorted(set().union(*by.values()))))[:rows]
+
+
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit trees and thresholds on a bounded sample; without both labels nothing is ever added."""
-    found = examples(sample_texts(docs, rows))
+    """Fit trees and thresholds on the pieces of `training_texts`; without both labels nothing is ever added."""
+    found = examples(training_texts(docs, rows))
     held = (found["text"] % 2 == 1).to_numpy() if len(found) else np.zeros(0, bool)
     fit, nothing = found[~held], Model(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1)), (np.inf,) * len(KINDS))
     if fit["label"].nunique() < 2:

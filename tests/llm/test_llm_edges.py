@@ -112,6 +112,20 @@ def test_pii_adds_each_number_of_a_line(spark):
         assert sorted(text[i:j] for _, i, j in model.added(text, pii.base_spans(text))) == sorted(want), text
 
 
+def test_pii_sample_is_of_the_whole_table(spark):
+    """A head without personal data, rows in another order and in other files: the same training texts, of every kind."""
+    rows = [(k, f"plain words {k % 700} of a head {k}") for k in range(3000)]
+    rows += [(3000 + k, f"mail a{k}@b.org or +1 (017) 555-{k:04} at 10.0.0.{k} " + "word " * 30_000 * (k == 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = pii.training_texts(df.repartition(5), 500)
+    assert texts == pii.training_texts(df.orderBy("text").coalesce(2), 500)
+    assert len(texts) <= 500 and max(map(len, texts)) <= pii.PIECE
+    kinds = [s[0] for t in texts for s in pii.base_spans(t)]
+    assert min(kinds.count(k) for k in ("email", "phone", "ip")) == 40
+    copies = spark.createDataFrame([(1, "the same text")] * 3000 + rows[:50], "doc_id long, text string")
+    assert len(pii.training_texts(copies, 100)) >= 20
+
+
 def test_redact():
     assert pii.redact("ab cd ef", [("ip", 0, 2), ("card", 1, 5), ("email", 6, 8)]) == "[ip] [email]"
 
