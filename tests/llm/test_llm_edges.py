@@ -126,6 +126,15 @@ def test_pii_sample_is_of_the_whole_table(spark):
     assert len(pii.training_texts(copies, 100)) >= 20
 
 
+def test_pii_examples_could_all_be_added():
+    """Precision is counted over spans that can be added: none of the examples is a base span, cards have positive ones."""
+    text = "card 4111 1111 1111 1111 mail a@b.org ip 10.0.0.1 phone +1 (017) 555-7713"
+    assert pii._addable(text, pii.base_spans(text)) == []
+    found = pii.examples([text] * 40)
+    good = found[found["label"] == 1]
+    assert set(good["kind"]) == {"email", "card", "phone"}
+
+
 def test_redact():
     assert pii.redact("ab cd ef", [("ip", 0, 2), ("card", 1, 5), ("email", 6, 8)]) == "[ip] [email]"
 
