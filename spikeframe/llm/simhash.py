@@ -221,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, *rest: str) -> DataFrame:
-    """Per row: fp (signed), component_id, and the columns `rest`.
+    """Per row: fp (signed), component_id, label (the smallest fingerprint of the component), and the columns `rest`.
 
     Needs doc_id and text. A null or blank text has the fingerprint 0 and is linked like any other.
     component_id is the smallest doc_id that links reach; null ids count only where there is no other.
@@ -235,7 +235,7 @@ def simhash_groups(docs: DataFrame, *rest: str) -> DataFrame:
     labelled = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "rows", "least", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = kept(labelled.join(smallest, "label").select("fp", "rows", "component_id"), "components")
+    named = kept(labelled.join(smallest, "label").select("fp", "rows", "label", "component_id"), "components")
     return join_counted(rows, named, ["fp"], number, "rows", "inner")
 
 
@@ -248,8 +248,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select(d1.alias("d1"), d2.alias("d2"), F.col("doc_id"), F.col("text"))
     groups = simhash_groups(keyed, "d1", "d2")
     no_id = F.col("doc_id").isNull()
-    # components without an id share the null, so their fingerprints tell them apart
-    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(
+    # by label, since components without an id share the null, and a repeated id may name several
+    best = groups.groupBy("label").agg(
         F.min(F.struct(no_id.alias("no_id"), "doc_id", "d1", "d2")).alias("best")).select("best.d1", "best.d2")
     rows = docs.select(d1.alias("d1"), d2.alias("d2"), F.struct("*").alias("row"))
     return rows.join(best, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"]).select("row.*")

@@ -263,6 +263,12 @@ def test_simhash(docs, none):
     assert simhash.simhash_groups(none).count() == 0 and simhash.near_dedup(none).count() == 0
 
 
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(80)) for c in "ab"]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[1])], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.near_dedup(df).collect()) == [(1, texts[0]), (1, texts[1])]
+
+
 def test_long_chains_and_many_blocks(spark, monkeypatch):
     """Chains of fingerprints that each differ in two bits from the next, over many small blocks."""
     monkeypatch.setattr(simhash, "LEAST_BLOCK", 16)
