@@ -9,6 +9,8 @@ from ..functions.missing import ratio
 from ..functions.pvalues import kolmogorov_p_value
 from ..layout import Slicing
 
+EXACT_RATES = 20_000  # rates of both samples that the exact p-value takes; its one task takes n * (n + m) steps
+
 
 def channel_rates(table: DataFrame) -> DataFrame:
     """Rows per second of every channel, from a spike table or a burst table."""
@@ -40,7 +42,8 @@ def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), method:
 
     The caller chooses the p-value, whatever the size: "asymptotic" is the
     large-sample limit, "exact" goes through all orders of the pooled sample, in
-    one task, with time n * (n + m) for the sizes of the samples.
+    one task, with time n * (n + m) for the sizes of the samples. Above
+    EXACT_RATES rates, which are counted first, it is an error.
     """
     if method not in ("exact", "asymptotic"):
         raise ValueError(f"unknown method: {method}")
@@ -61,6 +64,9 @@ def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), method:
     result = result.withColumn("method", F.lit(method))
     if method == "asymptotic":
         return result.withColumn("p_value", kolmogorov_p_value(F.col("D"), F.col("n"), F.col("m")))
+    rates_known = values.agg(F.sum(F.col("_a") + F.col("_b"))).first()[0] or 0
+    if rates_known > EXACT_RATES:
+        raise ValueError(f"the exact p-value takes at most {EXACT_RATES} rates, these are {rates_known}; use method='asymptotic'")
     known = result.where((F.col("n") > 0) & (F.col("m") > 0)).select("pair", "n", "m", "D")
     p = pairs.lookup(values, known).groupBy("pair").applyInPandas(_exact_p(), "pair string, p_value double")
     return result.join(p, "pair", "left")

@@ -136,6 +136,14 @@ def test_exact_ks_counts_all_orders(spark, cut, a, b):
     assert close(row.D, d) and close(row.p_value, as_far / len(picks))
 
 
+def test_exact_ks_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(distributions, "EXACT_RATES", 6)
+    assert distributions.ks_test(_rates(spark, [1, 2, 3], [1, 2, 3]), method="exact").first().p_value == 1.0
+    with pytest.raises(ValueError, match="at most 6 rates, these are 7"):
+        distributions.ks_test(_rates(spark, [1, 2, 2, 3], [1, 2, 3]), method="exact")
+    assert distributions.ks_test(_rates(spark, [1, 2, 2, 3], [1, 2, 3])).first().n == 4
+
+
 def test_ks_without_a_second_group(spark):
     row = distributions.ks_test(_rates(spark, [1, 2, 3], [])).first()
     assert row.n == 3 and row.m == 0 and row.D is None and row.p_value is None
