@@ -69,4 +69,35 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
 FROM marked""",
+    "op11_collocations": f"""
+WITH piece AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM piece),
+total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang),
+place AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+gram AS (SELECT lang, words[i:i + k - 1] AS phrase FROM place, range(1, 6) AS size(k) WHERE i + k - 1 <= len(words)),
+counts AS (SELECT lang, phrase, len(phrase) AS k, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= 100),
+inside AS (
+  SELECT c.lang, c.phrase[f:f + m - 1] AS phrase, max(c.a) AS longer
+  FROM counts c, range(1, 6) AS first(f), range(2, 5) AS size(m) WHERE m < c.k AND f + m - 1 <= c.k GROUP BY ALL),
+open AS (
+  SELECT c.* FROM counts c LEFT JOIN inside i USING (lang, phrase) WHERE c.k > 1 AND (i.longer IS NULL OR 100 * i.longer < 100 * c.a)),
+cut AS (
+  SELECT o.lang, o.phrase, o.a, cut_at, l.a AS l, r.a AS r, n, ((1000::HUGEINT * o.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM open o, range(1, 5) AS cuts(cut_at)
+  JOIN counts l ON l.lang = o.lang AND l.phrase = o.phrase[:cut_at]
+  JOIN counts r ON r.lang = o.lang AND r.phrase = o.phrase[cut_at + 1:]
+  JOIN total t ON t.lang = o.lang WHERE cut_at < o.k),
+lowest AS (
+  SELECT *, array_to_string(phrase, ' ') AS joined, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) AS place FROM cut),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(joined)) AS rank, joined AS phrase, a, l, r, n, score
+  FROM lowest WHERE place = 1)
+SELECT * FROM ranked WHERE rank <= 2000""",
+    "op13_exact_dedup": r"""
+WITH doc AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM doc WINDOW same AS (PARTITION BY text)""",
 }

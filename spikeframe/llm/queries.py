@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeframe.llm import cotrain, line_dedup, mixing, oracle, packing, pii, quality_rules, search, simhash, token_counts, warc
+from spikeframe.llm import (
+    alignment, collocations, cotrain, exact_dedup, line_dedup, mixing, oracle, packing, pii, quality_rules, search, simhash, token_counts, warc,
+)
 from spikeframe.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +78,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_documents(spark, sf_dir), _tokenizer(alignment.MODEL_A), _tokenizer(alignment.MODEL_B))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select(*[c for c in aligned.columns if c != "groups"], digest.alias("groups_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha256 = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    marked = exact_dedup.marks(_documents(spark, sf_dir), text_sha256=sha256)
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -88,6 +106,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_warc": op10_warc,
+        "op11_collocations": op11_collocations,
+        "op12_alignment": op12_alignment,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 

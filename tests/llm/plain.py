@@ -173,3 +173,73 @@ def bm25(docs, queries, top=10):
 
 def sha256(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def alignment(docs):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of (doc_id, text), both texts encoded as a whole."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    a.encode_special_tokens = True
+    printed = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 255 and c != 173]
+    back = {chr(c): c for c in printed} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in printed)}
+    piece = lambda x: bytes([int(b.id_to_piece(x)[3:5], 16)]) if b.is_byte(x) else b.id_to_piece(x).replace("▁", " ").encode()
+    aligned, counts, most = [], Counter(), defaultdict(int)
+    for i, text in docs:
+        ids_a = a.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        of_a, of_b = [bytes(back[c] for c in a.id_to_token(x)) for x in ids_a], [piece(x) for x in ids_b]
+        if not text or not b"".join(of_a) == b"".join(of_b) == (" " + text).encode():
+            aligned.append((i, [], [], [], []))
+            continue
+        ends_a, ends_b = ({int(e): k for k, e in enumerate(np.cumsum([len(x) for x in own]))} for own in (of_a, of_b))
+        from_a, from_b, links, groups = 0, 0, [], []
+        for end in sorted(ends_a.keys() & ends_b.keys()):
+            k, j = ends_a[end] + 1, ends_b[end] + 1
+            links.append((ids_a[k - 1], ids_b[j - 1]))
+            groups.append(",".join(map(str, ids_a[from_a:k])) + "|" + ",".join(map(str, ids_b[from_b:j])))
+            from_a, from_b = k, j
+        counts.update(links)
+        aligned.append((i, ids_a, ids_b, links, groups))
+    for (_, y), n in counts.items():
+        most[y] = max(most[y], n)
+    return [(i, len(ids_a), len(ids_b), len(groups), len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), ";".join(groups))
+            for i, ids_a, ids_b, links, groups in aligned]
+
+
+def collocations(docs, least, most=5, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", lower(text or "")):
+            own = re.findall("[^ \t]+", piece)
+            n[lang] += len(own)
+            f.update((lang, tuple(own[i:i + k])) for k in range(1, most + 1) for i in range(len(own) - k + 1))
+    often = {key: a for key, a in f.items() if a >= least and len(key[1]) > 1}
+    inside = defaultdict(int)
+    for (lang, words_), a in often.items():
+        for k in range(2, len(words_)):
+            for i in range(len(words_) - k + 1):
+                inside[lang, words_[i:i + k]] = max(inside[lang, words_[i:i + k]], a)
+    out = defaultdict(list)
+    for (lang, words_), a in often.items():
+        if inside[lang, words_] < a:
+            cuts = [(1000 * a * n[lang] // (f[lang, words_[:k]] * f[lang, words_[k:]]), k) for k in range(1, len(words_))]
+            score, k = min(cuts)
+            out[lang].append((-score, -a, " ".join(words_).encode(), f[lang, words_[:k]], f[lang, words_[k:]]))
+    return [(lang, rank, phrase.decode(), -a, x, y, n[lang], -score)
+            for lang, rows in out.items() for rank, (score, a, phrase, x, y) in enumerate(sorted(rows)[:top], 1)]
+
+
+def exact_groups(docs):
+    """(doc_id, keep_id, group_size, kept) of (doc_id, text)."""
+    groups = defaultdict(list)
+    for i, text in docs:
+        groups[re.sub("[ \t-\r]+", " ", text or "")].append(i)
+    out = []
+    for ids in groups.values():
+        keep = min((i for i in ids if i is not None), default=None)
+        out += [(i, keep, len(ids), i == keep) for i in ids]
+    return out
