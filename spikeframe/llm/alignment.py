@@ -9,12 +9,12 @@ again and looks the counts of their links up.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,19 @@ from spikeframe.llm.perfect_hash import LEVELS, PerfectHash, mixed
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_BITS = 24  # a pair is one number: A id << B_BITS | B id
-CACHED, CACHED_CHARS = 500_000, 1 << 25  # units that a worker remembers, and their characters together
-FLUSH_PAIRS = 1 << 19  # distinct pairs that a task holds before it passes their counts on
+CACHED, CACHED_CHARS = 600_000, 1 << 24  # units that a worker remembers, and their bytes together
+GROUP_CHARS = 1 << 21  # texts that are aligned together
+FLUSH_PAIRS = 1 << 20  # pairs that a task holds before it passes their counts on
 BUCKET_KEYS = 1 << 15  # distinct pairs of a bucket, about
 SUMMED = 64  # vectors that one step of the tree sums
 BROADCAST_PAIRS = 1 << 22  # a counted table of at most so many pairs (17 bytes each) goes to all tasks
 
-_UNIT = re.compile("[ \n]+[^ \n]*")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_UNIT = re.compile("[ \n]+[^ \n.,]*|[.,]+[^ \n.,]*")
+_APART = re.compile("[^A-Za-z.,][.,]")  # a full stop or comma that may belong to what is before it
+_CROSSES = re.compile("[A-Za-z][.,]")
+_PLAIN = re.compile(" [!-~]+")  # units of ASCII that can stand behind each other: all begin with a space
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: words of byte-level vocabularies
 _MARK = "▁"  # how vocabulary B writes a space
 _PRINTED = re.compile("[ -~\n\u00a1-\u00ac\u00ae-\u024f]*")  # in these texts every part ends with a printed character
 
@@ -45,83 +51,159 @@ def _bytes_of_unicode() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class _Column:
+    """A column of numbers that grows; `of` is a view of all."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.empty(self.n + len(values), self.held.dtype)])
+        self.held[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def of(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Aligner:
-    """Both tokenizers, and what the units seen so far come to: a worker keeps them over its tasks."""
+    """Both tokenizers, and what the units seen so far come to: a worker keeps them over its tasks and passes."""
 
     def __init__(self, path_a: str, path_b: str):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         back = _bytes_of_unicode()
-        self.bytes_a = {i: bytes(back[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_b = {}
+        vocabulary = sorted((i, bytes(back[c] for c in token)) for token, i in self.a.get_vocab(with_added_tokens=False).items())
+        if [i for i, _ in vocabulary] != list(range(len(vocabulary))):
+            raise ValueError("the ids of a vocabulary have gaps")
+        self.bytes_a, self.bytes_b = [token for _, token in vocabulary], []
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
-            self.bytes_b[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode()
-            if _MARK in piece.lstrip(_MARK) or ("\n" in piece and len(piece) > 1):
-                raise ValueError("pieces of this vocabulary cross words; texts cannot be cut into units")
-        self.before = len(self.b.encode("\n"))
-        self.known: dict[str, tuple | None] = {}
-        self.held = 0
-
-    def align(self, units: list[str]) -> Iterator[tuple | None]:
-        """Per unit: number of A and B tokens, linked pairs, groups as text; None where the bytes of B differ."""
-        encoded = self.a.encode_batch(units, add_special_tokens=False)
+            self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode())
+            if _MARK in piece.lstrip(_MARK) or ("\n" in piece and len(piece) > 1) or _CROSSES.search(piece):
+                raise ValueError("pieces of this vocabulary cross units; texts cannot be cut into them")
+        # Merges in the order of the ids are ranks, which another library goes through faster. It is asked for ASCII
+        # alone, where both split words alike.
+        merges = json.loads(self.a.to_str())["model"]["merges"]
+        of = self.a.get_vocab(with_added_tokens=False)
+        ranked = len(merges) + 256 == len(of) and all(of["".join(m)] == 256 + k for k, m in enumerate(merges))
+        self.ranks = ranked and tiktoken.Encoding(
+            "units", pat_str=_WORDS, mergeable_ranks={token: i for i, token in vocabulary}, special_tokens={})
+        self.sizes = [np.array([len(token) for token in tokens], np.int64) for tokens in (self.bytes_a, self.bytes_b)]
+        numbers = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.printed = {end: np.array([n + end for n in numbers], object) for end in (",", "|", ";", "")}
+        self.before, self.version = len(self.b.encode("\n")), 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all units; their numbers mean nothing any more."""
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []  # token groups as text, by the number of the unit
+        self.held, self.version = 0, self.version + 1
+        self.pairs = _Column(np.int64)
+        self.n_a, self.n_b, self.links, self.first = (_Column(np.int64) for _ in range(4))  # n_a is -1 where the tokens do not spell the unit
+
+    def _tokens_a(self, units_: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The A tokens of units, one unit after the other, and how many each has."""
+        plain = np.fromiter((bool(self.ranks and _PLAIN.fullmatch(u)) for u in units_), bool, len(units_))
+        joined = np.array(self.ranks.encode_ordinary("".join(compress(units_, plain))) if plain.any() else [], np.int64)
+        others = [e.ids for e in self.a.encode_batch_fast(list(compress(units_, ~plain)), add_special_tokens=False)]
+        n = np.zeros(len(units_), np.int64)
+        n[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        n[plain] = np.diff(np.searchsorted(np.cumsum(self.sizes[0][joined]), np.append(0, np.cumsum(size[plain])), side="right"))
+        ids, from_joined = np.empty(int(n.sum()), np.int64), np.repeat(plain, n)
+        ids[from_joined] = joined
+        ids[~from_joined] = np.fromiter(chain.from_iterable(others), np.int64, int(n[~plain].sum()))
+        return ids, n
+
+    def learn(self, new: list[str]) -> None:
+        """Tokenize and align new units together."""
+        data = [u.encode() for u in new]
+        size = np.fromiter(map(len, data), np.int64, len(data))
         # after a line end nothing is put in front of the unit
-        for unit, a, b in zip(units, encoded, self.b.encode(["\n" + u for u in units], num_threads=1)):
-            a, b, data = a.ids, b[self.before:], unit.encode()
-            of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(of_a) != data or b"".join(of_b) != data:
-                yield None
-                continue
-            pairs, groups_, j, from_a, from_b, at_a, at_b = [], [], 0, 0, 0, 0, 0
-            for i, token in enumerate(of_a, 1):
-                at_a += len(token)
-                while at_b < at_a:
-                    at_b += len(of_b[j])
-                    j += 1
-                if at_a == at_b:
-                    pairs.append(a[i - 1] << B_BITS | b[j - 1])
-                    groups_.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                    from_a, from_b = i, j
-            yield len(a), len(b), tuple(pairs), ";".join(groups_)
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[list[str], list[tuple]]]:
-        """The units of each text and what they come to; nothing for texts without tokens.
-
-        Texts are taken together up to a bounded size, and new units of them are aligned together.
-        """
-        for group in groups(texts):
+        of_b = [x[self.before:] for x in self.b.encode(["\n" + u for u in new], num_threads=1)]
+        n_b = np.fromiter(map(len, of_b), np.int64, len(new))
+        a, n_a = self._tokens_a(new, size)
+        b = np.fromiter(chain.from_iterable(of_b), np.int64, int(n_b.sum()))
+        # do the tokens spell their units?
+        units_a, units_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
+        good = np.ones(len(new), bool)
+        for ids, unit, tokens, sizes in ((a, units_a, self.bytes_a, self.sizes[0]), (b, units_b, self.bytes_b, self.sizes[1])):
+            good &= np.bincount(unit, weights=sizes[ids], minlength=len(new)) == size
+            if b"".join(map(tokens.__getitem__, ids.tolist())) != b"".join(data):
+                ends = np.searchsorted(unit, np.arange(len(new) + 1)).tolist()
+                for k, d in enumerate(data):
+                    good[k] &= b"".join(map(tokens.__getitem__, ids[ends[k]:ends[k + 1]].tolist())) == d
+        if not good.all():
+            a, b = a[good[units_a]], b[good[units_b]]
+        # over all units, one behind the other: where do tokens of both end?
+        ends_a, ends_b, ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]), np.cumsum(size[good])
+        shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        links = np.zeros(len(new), np.int64)
+        links[good] = np.bincount(np.searchsorted(ends, shared), minlength=int(good.sum()))
+        # the tokens of a group as text: those of A, then those of B
+        group_a, group_b = np.searchsorted(at_a, np.arange(len(a))), np.searchsorted(at_b, np.arange(len(b)))
+        text = np.empty(len(a) + len(b), object)
+        last = self.printed[","][a]
+        last[at_a] = self.printed["|"][a[at_a]]
+        text[np.arange(len(a)) + np.append(0, at_b + 1)[group_a]] = last
+        last = self.printed[","][b]
+        last[at_b] = np.where(np.isin(shared, ends, assume_unique=True), self.printed[""][b[at_b]], self.printed[";"][b[at_b]])
+        text[np.arange(len(b)) + at_a[group_b] + 1] = last
+        text, at = text.tolist(), np.cumsum(np.append(0, (n_a + n_b) * good)).tolist()
+        self.groups += ["".join(text[i:j]) for i, j in zip(at, at[1:])]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.first.add(self.pairs.n + np.cumsum(links) - links)
+        self.pairs.add(a[at_a] << B_BITS | b[at_b])
+        for column, values in ((self.n_a, np.where(good, n_a, -1)), (self.n_b, n_b), (self.links, links)):
+            column.add(values)
+        self.held += int(size.sum())
+
+    def texts(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
+        """The units of each text by number, none for texts without tokens; some texts at a time, for which the numbers hold."""
+        for group in groups(texts, GROUP_CHARS):
             split = [units(text) if text else [] for text in group]
-            new = list(set().union(*split) - self.known.keys())
+            every = set().union(*split)
+            new = list(every - self.known.keys())
             if len(self.known) + len(new) > CACHED or self.held > CACHED_CHARS:
-                self.known.clear()
-                self.held, new = 0, list(set().union(*split))
-            self.known.update(zip(new, self.align(new)))
-            self.held += sum(map(len, new))
-            for own in split:
-                found = list(map(self.known.__getitem__, own))
-                yield ([], []) if None in found else (own, found)
+                self.forget()
+                new = list(every)
+            if new:
+                self.learn(new)
+            found = [np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) for own in split]
+            yield [own if (self.n_a.of[own] >= 0).all() else own[:0] for own in found]
+
+    def pairs_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The linked pairs of units, one unit after the other."""
+        links = self.links.of[numbers]
+        ends = np.cumsum(links)
+        return self.pairs.of[np.arange(int(links.sum())) + np.repeat(self.first.of[numbers] - (ends - links), links)]
 
 
 def units(text: str) -> list[str]:
-    """The parts of a text behind a space, cut before spaces and line ends that follow a printed character.
+    """The parts of a text behind a space, cut before spaces and line ends that follow a printed character,
+    and before full stops and commas that follow a letter.
 
     Both tokenizers begin a token there. Where the character before is one of the white space of either
     tokenizer, or of no class at all, the parts stay together.
     """
-    parts = _UNIT.findall(" " + text)
-    if _PRINTED.fullmatch(text):
+    text = " " + text
+    parts = _UNIT.findall(text)
+    if _PRINTED.fullmatch(text) and not _APART.search(text):
         return parts
     out, held = [], ""
-    for part in parts:
-        held += part
-        if held[-1].isprintable() and held[-1] not in " " + _MARK:
+    for part in [*parts, None]:
+        if held and (part is None or (held[-1] in _LETTERS if part[0] in ".," else held[-1].isprintable() and held[-1] not in " " + _MARK)):
             out.append(held)
             held = ""
-    return [*out, held] if held else out
+        held += part or ""
+    return out
 
 
 @cache
@@ -134,22 +216,27 @@ def _counts_by_task(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """First pass: linked pairs with their counts, each pair once for a flush of a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, pairs, flushed = aligner(path_a, path_b), Counter(), 0
+        both, held, flushed = aligner(path_a, path_b), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            return pairs, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(pairs)).astype(np.int64)
 
-        def flush():
-            out = [np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)), np.full(len(pairs), flushed, np.int32)]
-            pairs.clear()
-            return pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["pair", "n", "flush"])
+        def flush(pairs, times):
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times), pa.array(np.full(len(pairs), flushed, np.int32))], ["pair", "n", "flush"])
 
         for batch in batches:
-            for _, found in both.texts(batch.column(0).to_pylist()):
-                for own in found:
-                    pairs.update(own[2])
-                if len(pairs) >= FLUSH_PAIRS:
-                    yield flush()
-                    flushed += 1
-        if pairs:
-            yield flush()
+            for found in both.texts(batch.column(0).to_pylist()):
+                times = np.bincount(np.concatenate(found))
+                used = np.flatnonzero(times)
+                held.append((both.pairs_of(used), np.repeat(times[used], both.links.of[used])))
+                if sum(len(p) for p, _ in held) >= FLUSH_PAIRS:
+                    held = [merged()]
+                    if len(held[0][0]) >= FLUSH_PAIRS // 2:
+                        yield flush(*held.pop())
+                        flushed += 1
+        if held:
+            yield flush(*merged())
 
     return kept(rows.mapInArrow(count, "pair long, n long, flush int").withColumn("task", F.spark_partition_id()), "pair-counts")
 
@@ -232,6 +319,13 @@ def _counted(table: DataFrame) -> DataFrame:
     return table.select("pairs", "counts").mapInArrow(rows, "pair long, count long")
 
 
+def _sums(values: np.ndarray, group: np.ndarray, groups_: int) -> np.ndarray:
+    """Whole-number sums per group, which bincount would take through doubles."""
+    out = np.zeros(groups_, np.int64)
+    np.add.at(out, group, values)
+    return out
+
+
 class Counts:
     """The functions and vectors of all buckets, and the highest count of each B id."""
 
@@ -273,47 +367,40 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         known = spark.sparkContext.broadcast((_buckets(number), table.collect(), most.collect()))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            both, counts, sums = aligner(path_a, path_b), Counts(*known.value), {}
-            def table_of(ids: pa.Array, out: list, texts: list) -> pa.RecordBatch:
-                numbers = np.array(out, np.int64).reshape(-1, 6).T
-                return pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers), pa.array(texts, pa.string())],
-                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
-
+            both, counts, version = aligner(path_a, path_b), Counts(*known.value), None
             for batch in batches:
-                first, out, texts, told = 0, [], [], both.texts(batch.column(1).to_pylist())
-                while part := list(islice(told, 64)):
-                    new = {u: f[2] for own, found in part for u, f in zip(own, found) if u not in sums}
-                    if len(sums) + len(new) > CACHED:
-                        sums.clear()
-                        new = {u: f[2] for own, found in part for u, f in zip(own, found)}
-                    if new:
-                        count, best = counts.of(np.array(list(chain.from_iterable(new.values())), np.int64))
-                        starts = np.cumsum([0, *map(len, new.values())])[:-1]  # a unit has a link at its end at least
-                        sums.update(zip(new, zip(np.add.reduceat(best.astype(np.int64), starts).tolist(), np.add.reduceat(count, starts).tolist())))
-                    for own, found in part:
-                        a, b, pairs, text = list(zip(*found)) or [()] * 4
-                        best, count = list(zip(*map(sums.__getitem__, own))) or [()] * 2
-                        links = sum(map(len, pairs))
-                        out.append((sum(a), sum(b), links, links, sum(best), sum(count)))
-                        texts.append(";".join(text))
-                    if sum(map(len, texts)) >= 1 << 24:
-                        yield table_of(batch.column(0).slice(first, len(out)), out, texts)
-                        first, out, texts = first + len(out), [], []
-                yield table_of(batch.column(0).slice(first), out, texts)
+                first = 0
+                for found in both.texts(batch.column(1).to_pylist()):
+                    if version != both.version:
+                        version, sums = both.version, np.full((2, 0), -1, np.int64)
+                    every, ends = np.concatenate(found), np.cumsum([0, *map(len, found)])
+                    sums = np.pad(sums, ((0, 0), (0, both.links.n - sums.shape[1])), constant_values=-1)
+                    used = np.unique(every[sums[0][every] < 0])  # units that this task has not looked up yet
+                    count, best = counts.of(both.pairs_of(used))
+                    own = np.repeat(np.arange(len(used)), both.links.of[used])
+                    sums[0, used], sums[1, used] = _sums(best.astype(np.int64), own, len(used)), _sums(count, own, len(used))
+                    texts = [";".join(map(both.groups.__getitem__, own.tolist())) for own in found]
+                    columns = [np.append(0, np.cumsum(c[every])) for c in (both.n_a.of, both.n_b.of, both.links.of, both.links.of, *sums)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, len(found)), *[pa.array(c[ends[1:]] - c[ends[:-1]]) for c in columns], pa.array(texts, pa.string())],
+                        ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+                    first += len(found)
 
         return rows.mapInArrow(look_up, f"doc_id {id_type}, {counted}, n_best long, count_sum long, groups string")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for batch in batches:
-            for doc_id, (_, found) in zip(batch.column(0), both.texts(batch.column(1).to_pylist())):
-                a, b, pairs, text = list(zip(*found)) or [()] * 4
-                own = Counter(chain.from_iterable(pairs))
-                numbers = [sum(a), sum(b), own.total(), own.total()]
+            first = 0
+            for found in both.texts(batch.column(1).to_pylist()):
+                each = [np.unique(both.pairs_of(own), return_counts=True) for own in found]
+                numbers = [pa.array([int(c.of[own].sum()) for own in found]) for c in (both.n_a, both.n_b, both.links, both.links)]
+                texts = [";".join(map(both.groups.__getitem__, own.tolist())) for own in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()], batch.column(0).type), *[pa.array([n]) for n in numbers], pa.array([";".join(text)]),
-                     pa.array([list(own)], pa.list_(pa.int64())), pa.array([list(own.values())], pa.list_(pa.int64()))],
+                    [batch.column(0).slice(first, len(found)), *numbers, pa.array(texts, pa.string()),
+                     *[pa.array([list(e[k]) for e in each], pa.list_(pa.int64())) for k in (0, 1)]],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+                first += len(found)
 
     # more pairs than go to every task: the distinct links of a row are joined to the table
     written = kept(rows.mapInArrow(links, f"doc_id {id_type}, {counted}, groups string, pairs array<long>, times array<long>"), "links")

@@ -32,7 +32,7 @@ def test_alignment_edges(docs, none, monkeypatch):  # noqa: F811
     assert aligned(docs) == want
     assert alignment.align(none, *PATHS).count() == 0
     # many small flushes, buckets and steps of the tree; then without a table for all tasks
-    for name, value in (("FLUSH_PAIRS", 5), ("BUCKET_KEYS", 7), ("SUMMED", 2), ("CACHED", 50)):
+    for name, value in (("FLUSH_PAIRS", 5), ("BUCKET_KEYS", 7), ("SUMMED", 2), ("CACHED", 50), ("GROUP_CHARS", 100)):
         monkeypatch.setattr(alignment, name, value)
     assert aligned(docs) == want
     monkeypatch.setattr(alignment, "BROADCAST_PAIRS", 0)
@@ -43,11 +43,12 @@ def test_alignment_edges(docs, none, monkeypatch):  # noqa: F811
 
 
 def test_units_are_safe_to_align_alone():
-    parts = ["a", " ", "  ", "\n", "\t", "▁", "é", "\xa0", "\x85", "don't", "'s", "12", "<s>", "<|endoftext|>", "…", "日本", "\x00", " ", "x,y", " the", "​", "é", "🙂"]
+    parts = ["a", ".", ",", "...", ".b", "E.", " ", "  ", "\n", "\t", "▁", "é", "\xa0", "\x85", "don't", "'s", "12", "<s>", "<|endoftext|>", "…", "日本", "\x00", " ", "x,y", " the", "​", "é", "🙂"]
     rng = random.Random(3)
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     assert all("".join(alignment.units(t)) == " " + t for t in texts if t)
-    got = [";".join(f[3] for f in found) for _, found in alignment.aligner(*PATHS).texts(texts)]
+    both = alignment.aligner(*PATHS)
+    got = [";".join(both.groups[u] for u in own) for found in both.texts(texts) for own in found]
     assert got == [w[7] for w in plain.alignment(enumerate(texts))]
 
 
