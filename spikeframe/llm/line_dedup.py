@@ -14,6 +14,7 @@ from spikeframe.llm.common import SPACES, ascii_lower, hash_pair, join_counted,
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
+COUNTS = "_n_lines", "_n_dropped"
 
 
 def _keys(text: Column) -> Column:
@@ -37,14 +38,18 @@ def frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
             .groupBy("h1", "h2").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents))
 
 
-def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """All columns of `docs` with `text` replaced by the lines that stay, plus _n_lines and _n_dropped.
+def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, counts: tuple[str, ...] = COUNTS) -> DataFrame:
+    """All columns of `docs` with `text` replaced by the lines that stay, plus the numbers of lines and of dropped ones.
+
+    `counts` names these two columns; a name that `docs` has already is refused, and () leaves both out.
 
     Every row counts as a document of its own, also a repeated one. A null or empty text is one
     empty line, which stays, and comes back as an empty text. Lines without a character never count.
     Needs `doc_id` and `text`; other columns, whatever their names, pass through. An empty table
     gives an empty table.
     """
+    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in counts}:
+        raise ValueError(f"columns of these names are there already: {sorted(taken)}")
     d1, d2 = hash_pair(F.col("doc_id"), F.col("text"))
     rows = docs.select(d1.alias("d1"), d2.alias("d2"), F.col("text"), F.struct("*").alias("row"))
     frequent = kept(frequent_lines(docs, min_documents), "frequent-lines")
@@ -63,6 +68,5 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     text = F.when(F.col("dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
         F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(F.col("lines"), i)), "\n"))
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return joined.select(
-        *columns, F.size("lines").cast("long").alias("_n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("_n_dropped"))
+    numbers = F.size("lines").cast("long"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
+    return joined.select(*columns, *[n.alias(c) for n, c in zip(numbers, counts)])

@@ -80,7 +80,8 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return spans
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.group().split(".")):
+        # compared without the zeros in front, of which there may be any number
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in m.group().split("."))):
             spans.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = _DIGITS.sub("", m.group())

@@ -6,11 +6,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import plain
 from spikeframe.llm import common, cotrain, line_dedup, mixing, packing, pii, quality_rules, search, simhash, token_counts, warc
 
-CLASHES = ["row", "key", "h1", "d1", "words", "lines", "fp", "value", "block", "label", "copies", "size", "target", "position", "_key", "documents", "kind", "shard"]
+CLASHES = ["row", "key", "h1", "d1", "words", "lines", "fp", "value", "block", "label", "copies", "size", "target", "position", "_key", "documents", "kind", "shard", "_salt"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 SHARED = "a line that all have"
 LONG = " ".join(f"w{k % 9973}" for k in range(60_000)) + "\n" + SHARED + "\n" + "x" * 200_000
@@ -48,6 +49,25 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_counts_have_names_of_their_own(spark, docs):
+    import corpus_pipeline
+
+    clash = docs.withColumns({"_n_lines": F.lit(1), "_N_DROPPED": F.lit(2)})
+    with pytest.raises(ValueError, match="_n_dropped"):
+        line_dedup.line_dedup(clash)
+    assert line_dedup.line_dedup(clash, counts=("n1", "n2")).columns == [*clash.columns, "n1", "n2"]
+    out = corpus_pipeline.lines(spark, clash, "")
+    assert out.columns == clash.columns and {(r._n_lines, r._N_DROPPED) for r in out.collect()} == {(1, 2)}
+
+
+def test_pii_takes_numbers_of_any_length(spark):
+    texts = ["0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "9", "9" * 5000 + ".1.1.1", "1.1.1.256"]
+    want = [[("ip", 0, len(texts[0]))], [("ip", 0, len(texts[1]))], [], []]
+    assert [pii.base_spans(t) for t in texts] == want
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[tuple(s) for s in r.base_spans] for r in sorted(rows)] == want
+
+
 def test_line_dedup_without_broadcast(docs, monkeypatch):
     want = pairs(line_dedup.line_dedup(docs).collect())
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
