@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
-    out = line_dedup.line_dedup(docs).drop("_n_lines", "_n_dropped")
+    out = line_dedup.line_dedup(docs, counts=())
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
