@@ -149,6 +149,13 @@ def _three_genotypes(d: Data) -> DataFrame:
     return d.norm().withColumn("genotype", F.when(third, "HET").otherwise(F.col("genotype")))
 
 
+def _four_genotypes(d: Data) -> DataFrame:
+    """The summary with WT against three genotypes, by the number of the recording."""
+    number = F.substring("fileName", 5, 12).cast("long") % 4
+    names = F.array(*[F.lit(g) for g in ("WT", "KO", "HET", "TG")])
+    return d.norm().withColumn("genotype", F.get(names, number.cast("int")))
+
+
 def _features(*names: str) -> Query:
     return _query(lambda d: d.features(SPARSE).select("fileName", *names))
 
@@ -246,9 +253,12 @@ def queries() -> dict[str, Query]:
         "bi_summary": _query(lambda d: G.bi_summary(d.norm())),
         "multi_summary": _query(lambda d: G.multi_summary(d.norm(), ["WT", "KO"]).drop("position")),
         "multi_summary_all": _query(lambda d: G.multi_summary(_three_genotypes(d)).drop("position")),
+        "multi_summary_vs_wt": _query(lambda d: G.vs_wt(_four_genotypes(d)).drop("position"), digits=4),
         # distributions
         "raster_points": _query(lambda d: E.raster_points(d.labelled(), xlim=250, channel_max=60)),
         "raster_points_sync": _query(_raster_sync),
+        "raster_points_syncburst": _query(lambda d: E.raster_points(
+            Y.label_burst_spikes(d.labelled(), d.bursts(), d.layout, 5))),
         "channel_rates_spike": _query(lambda d: D.channel_rates(d.spikes)),
         "channel_rates_burst": _query(lambda d: D.channel_rates(d.bursts())),
         "ecdf": _query(lambda d: D.ecdf(D.channel_rates(d.spikes))),

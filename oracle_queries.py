@@ -413,6 +413,34 @@ FROM welch""", dense, *summary, NORM, LONG, WELCH),
             dense, *summary, NORM.replace("norm AS", "two AS") + """,
 norm AS (SELECT * REPLACE (CASE WHEN CAST(substr(fileName, 5) AS BIGINT) % 3 = 2 THEN 'HET' ELSE genotype END AS genotype) FROM two)""",
             LONG, GROUPED),
+        "multi_summary_vs_wt": _sql("""
+SELECT variable, genotype, WT_n, round(WT_mean, 4) AS WT_mean, round(WT_sem, 4) AS WT_sem, GM_n, round(GM_mean, 4) AS GM_mean,
+       round(GM_sem, 4) AS GM_sem, round(t, 4) AS t, round(df, 4) AS df, round(p, 4) AS p,
+       CASE WHEN p IS NOT NULL THEN round(max(step) OVER (PARTITION BY variable ORDER BY p NULLS LAST, genotype), 4) END AS p_adjusted
+FROM (SELECT *, CASE WHEN p IS NOT NULL THEN least(1, p * (count(p) OVER (PARTITION BY variable)
+             - row_number() OVER (PARTITION BY variable ORDER BY p NULLS LAST, genotype) + 1)) END AS step FROM tested)""",
+            dense, *summary, NORM.replace("norm AS", "two AS") + """,
+norm AS (SELECT * REPLACE (['WT', 'KO', 'HET', 'TG'][1 + CAST(substr(fileName, 5) AS BIGINT) % 4] AS genotype) FROM two)""",
+            LONG, """
+side AS (
+  SELECT variable, genotype, count(value) AS n, CASE WHEN count(value) = count(*) THEN avg(value) END AS mean,
+         CASE WHEN count(value) = count(*) THEN stddev_samp(value) / sqrt(count(*)) END AS sem,
+         avg(value) AS average, var_samp(value) AS var
+  FROM long WHERE variable <> 'maxRecording' GROUP BY ALL),
+against AS (
+  SELECT g.variable, g.genotype, w.n AS WT_n, w.mean AS WT_mean, w.sem AS WT_sem, g.n AS GM_n, g.mean AS GM_mean, g.sem AS GM_sem,
+         w.var / w.n AS a, g.var / g.n AS b, abs(w.average - g.average) AS gap, greatest(abs(w.average), abs(g.average)) AS scale
+  FROM side g JOIN side w ON g.variable = w.variable AND w.genotype = 'WT' WHERE g.genotype <> 'WT'),
+welched AS (
+  SELECT *, CASE WHEN ok THEN gap / sqrt(a + b) END AS t,
+         CASE WHEN ok THEN (a + b) * (a + b) / (a * a / (WT_n - 1) + b * b / (GM_n - 1)) END AS df
+  FROM (SELECT *, WT_n > 1 AND GM_n > 1 AND sqrt(a + b) > 0 AND sqrt(a + b) >= 10 * 2.220446049250313e-16 * scale AS ok FROM against)),
+tested AS (
+  SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * t / 12000
+         * list_sum(list_transform(range(0, 4001), lambda i:
+             (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+             * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2))) AS p
+  FROM welched)"""),
         # distributions
         "raster_points": _sql("""SELECT fileName, genotype, channel_id, round(s, 6) AS s, burst_id IS NOT NULL AS in_burst
             FROM labelled WHERE s >= 0 AND s <= 250 AND channel_id BETWEEN 10 AND 60""", dense, LABELLED),
@@ -421,6 +449,11 @@ norm AS (SELECT * REPLACE (CASE WHEN CAST(substr(fileName, 5) AS BIGINT) % 3 = 2
             FROM labelled l JOIN binned_spikes b USING (fileName, channel_id, seq)
             LEFT JOIN spike_events e ON b.fileName = e.fileName AND b.window_bin = e.window_bin""",
                                    dense, LABELLED, _sync_spikes(0.1)),
+        "raster_points_syncburst": _sql("""SELECT l.fileName, l.genotype, l.channel_id, round(l.s, 6) AS s,
+            l.burst_id IS NOT NULL AS in_burst, e.syncburst_id IS NOT NULL AS in_syncburst
+            FROM labelled l LEFT JOIN binned_bursts b USING (fileName, channel_id, burst_id)
+            LEFT JOIN burst_events e ON b.fileName = e.fileName AND b.window_bin = e.window_bin""",
+                                        dense, LABELLED, _sync_bursts(5)),
         "channel_rates_spike": _sql(f"SELECT fileName, genotype, channel_id, {_rounded('Hz')} FROM hz", _channel_hz("spikes")),
         "channel_rates_burst": _sql(f"SELECT fileName, genotype, channel_id, {_rounded('Hz')} FROM hz", dense, _channel_hz("bursts")),
         "ecdf": _sql("""SELECT DISTINCT genotype, round(Hz, 6) AS Hz, round(cume_dist() OVER (PARTITION BY genotype ORDER BY Hz), 6) AS ecdf,

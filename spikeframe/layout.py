@@ -31,12 +31,16 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .functions.channels import channels_n
+
 ROWS_PER_SLICE = 1 << 22
 BROADCAST_ROWS = 1_000_000
 FEW_KEYS = 10_000
 SLICES_PER_SHARE = 2  # slices for each rowsPerSlice rows of a cut key
 ACCURACY = 20  # error of a quantile: at most this part of a slice of the largest key
 
+CONSTANT = ("genotype", "maxRecording")  # a recording has one value of each
+
 ROWS_PER_SLICE_CONF = "spark.spikeframe.rowsPerSlice"
 BROADCAST_ROWS_CONF = "spark.spikeframe.broadcastRows"
 SHARED_CONF = "spark.checkpoint.dir"
@@ -282,12 +286,19 @@ class Layout:
 
     @classmethod
     def measure(cls, spikes: DataFrame, position: str = "s") -> Layout:
-        files = _counts(spikes, ["fileName"], F.size(F.collect_set("channel_id")).alias("channels"))
+        """Count the rows. The same pass checks that a recording has one genotype and one length; else it is an error."""
+        constant = [c for c in CONSTANT if c in spikes.columns]
+        files = _counts(spikes, ["fileName"], channels_n().alias("channels"), *[_varies(c).alias(f"_{c}") for c in constant])
+        varies = F.when(F.exists(F.array(F.lit(False), *[F.col(f"_{c}") for c in constant]), lambda v: v), F.col("fileName"))
         head = files.agg(
             F.count("*").alias("files"),
             F.coalesce(F.sum("channels"), F.lit(0)).alias("channels"),
             F.max("_n").alias("peak"),
+            F.count(varies).alias("varying"), F.min(varies).alias("first"), F.max(varies).alias("last"),
         ).first()
+        if head["varying"]:
+            names = head["first"] if head["varying"] == 1 else f"{head['first']} to {head['last']}"
+            raise ValueError(f"{' or '.join(constant)} differs within {head['varying']} recordings: {names}")
         recordings = Slicing._cut(spikes, files, ["fileName"], position, "recording_slice", head["files"], head["peak"])
         keys = ["fileName", "channel_id"]
         if head["peak"] is None or head["peak"] <= rows_per_slice(spikes.sparkSession):
@@ -297,6 +308,27 @@ class Layout:
         return cls(recordings, Slicing._cut(spikes, counts, keys, position, "slice", head["channels"], head["peak"]))
 
 
+def _varies(column: str) -> Column:
+    """Aggregate: whether a column has several values, of which a missing one is one."""
+    some, missing = F.count(column), F.count("*") - F.count(column)
+    return F.coalesce(F.min(column) < F.max(column), F.lit(False)) | ((some > 0) & (missing > 0))
+
+
+def global_rank(table: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+    """Add the position of each row in the whole order, from 1, and the number of rows.
+
+    Rows are sorted in ranges; the driver only sees the number of rows of each range. No task gets all rows.
+    """
+    parts = kept(table.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for part, rows in sorted(tuple(r) for r in parts.groupBy("_part").count().collect()):
+        offsets += [F.lit(part), F.lit(before)]
+        before += rows
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    place = within + F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else within
+    return parts.withColumn(name, place.cast("int")).drop("_part"), before
+
+
 def _counts(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*more, F.count("*").alias("_n"))
 

@@ -9,7 +9,6 @@ from ..functions.missing import ratio
 from ..functions.pvalues import kolmogorov_p_value
 from ..layout import Slicing
 
-EXACT_RATES = 20_000  # rates of both samples that the exact p-value takes; its one task takes n * (n + m) steps
 
 
 def channel_rates(table: DataFrame) -> DataFrame:
@@ -41,9 +40,10 @@ def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), method:
     """Two-sample Kolmogorov-Smirnov test between two genotypes: n, m, D, p_value, method.
 
     The caller chooses the p-value, whatever the size: "asymptotic" is the
-    large-sample limit, "exact" goes through all orders of the pooled sample, in
-    one task, with time n * (n + m) for the sizes of the samples. Above
-    EXACT_RATES rates, which are counted first, it is an error.
+    large-sample limit, "exact" goes through all orders of the pooled sample whose
+    gap stays below D. That is a walk from value to value, so one task does it; it reads
+    the sorted values as a stream, holds the band of orders below D, about
+    2 * D * n * m / (n + m) numbers, and takes 2 * D * n * m steps.
     """
     if method not in ("exact", "asymptotic"):
         raise ValueError(f"unknown method: {method}")
@@ -64,47 +64,47 @@ def ks_test(rates: DataFrame, genotypes: tuple[str, str] = ("WT", "KO"), method:
     result = result.withColumn("method", F.lit(method))
     if method == "asymptotic":
         return result.withColumn("p_value", kolmogorov_p_value(F.col("D"), F.col("n"), F.col("m")))
-    rates_known = values.agg(F.sum(F.col("_a") + F.col("_b"))).first()[0] or 0
-    if rates_known > EXACT_RATES:
-        raise ValueError(f"the exact p-value takes at most {EXACT_RATES} rates, these are {rates_known}; use method='asymptotic'")
     known = result.where((F.col("n") > 0) & (F.col("m") > 0)).select("pair", "n", "m", "D")
-    p = pairs.lookup(values, known).groupBy("pair").applyInPandas(_exact_p(), "pair string, p_value double")
+    steps = pairs.lookup(values, known).select("pair", "Hz", (F.col("_a") + F.col("_b")).alias("ties"), "n", "m", "D")
+    p = steps.repartition(1).sortWithinPartitions("Hz").mapInPandas(_exact_p(), "pair string, p_value double")
     return result.join(p, "pair", "left")
 
 
 def _exact_p():
     # Defined in here, so that it travels to the executors by value.
-    def exact_p(group):
+    def exact_p(batches):
         """P(D >= d) over all orders of the pooled sample, ties kept together.
 
-        Walks through the distinct values. `mass[i]` is the share of the ways to
-        have met i of the first sample so far that stayed below d throughout.
+        Walks through the distinct values. `mass[k]` is the share of the ways to have met
+        low + k of the first sample so far that stayed below d throughout. Ways that can
+        no longer be below d at the end of a value are cut off on either side, so only the
+        band |i / n - j / m| < d is ever held, and what ties add to it.
         """
         import numpy as np
         import pandas as pd
 
-        group = group.sort_values("Hz")
-        n, m = int(group["n"].iloc[0]), int(group["m"].iloc[0])
-        d = float(group["D"].iloc[0])
-        i = np.arange(n + 1)
-        # Whole steps of 1 / (n * m), so that rounding cannot move the limit.
-        limit = round(d * n * m)
-        mass = np.zeros(n + 1)
-        mass[0] = 1.0
-        met = 0
-        for ties in (group["_a"] + group["_b"]).astype(int):
-            for _ in range(ties):
-                j = met - i
-                possible = (j >= 0) & (j <= m)
-                left = max(n + m - met, 1)
-                to_first = np.where(possible, mass * (n - i) / left, 0.0)
-                to_second = np.where(possible, mass * (m - j) / left, 0.0)
-                mass = to_second
-                mass[1:] += to_first[:-1]
-                met += 1
-            j = met - i
-            mass[np.abs(i * m - j * n) >= limit] = 0.0
-        p = 1.0 if limit <= 0 else 1.0 - float(mass.sum())
-        return pd.DataFrame({"pair": [group["pair"].iloc[0]], "p_value": [min(max(p, 0.0), 1.0)]})
+        mass, low, met, pair = np.ones(1), 0, 0, None
+        for batch in batches:
+            for pair, ties, n, m, d in zip(*(batch[c].tolist() for c in ("pair", "ties", "n", "m", "D"))):
+                # Whole steps of 1 / (n * m), so that rounding cannot move the limit.
+                limit = round(d * n * m)
+                for _ in range(int(ties)):
+                    left = n + m - met
+                    i = np.arange(low, low + len(mass))
+                    grown = np.zeros(len(mass) + 1)
+                    grown[:-1] = mass * (np.maximum(m - met + i, 0) / left)
+                    grown[1:] += mass * ((n - i) / left)
+                    met += 1
+                    first, last = max(low, met - m), min(low + len(mass), met, n)
+                    mass, low = grown[first - low:last - low + 1], first
+                # i * (n + m) lies strictly between met * n - limit and met * n + limit
+                first = max(low, (met * n - limit) // (n + m) + 1)
+                last = min(low + len(mass) - 1, -((-met * n - limit) // (n + m)) - 1)
+                mass, low = mass[first - low:max(last - low + 1, first - low)], first
+                if not len(mass):
+                    break
+        if pair is not None:
+            p = 1.0 if limit <= 0 else 1.0 - float(mass.sum())
+            yield pd.DataFrame({"pair": [pair], "p_value": [min(max(p, 0.0), 1.0)]})
 
     return exact_p

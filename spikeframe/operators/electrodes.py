@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import GRID_CORNERS, GRID_SIDE
@@ -81,24 +81,47 @@ def activity_map_windowed(
         labelled.withColumn("_step", F.floor(F.col("s") / F.lit(step)).cast("long"))
         .groupBy("fileName", "channel_id", "_step", "burst_id").agg(F.count("*").alias("n"))
     )
-    window = F.col("_step")
-    if per_window > 1:
-        steps = steps.withColumn("_window", F.explode(F.sequence(F.col("_step") - (per_window - 1), F.col("_step"))))
-        steps = steps.where(F.col("_window") >= (first or 0))
-        if last is not None:
-            steps = steps.where(F.col("_window") <= last)
-        window = F.col("_window")
+    if per_window == 1:
+        counts = steps.groupBy("fileName", "channel_id", F.col("_step").alias("window")).agg(
+            F.sum("n").alias("spikes"), F.count("burst_id").alias("bursts"))
+    else:
+        counts = _slid(steps, per_window, first or 0, last)
     return (
-        steps.withColumn("window", window)
-        .groupBy("fileName", "channel_id", "window", "burst_id").agg(F.sum("n").alias("n"))
-        .groupBy("fileName", "channel_id", "window")
-        .agg(F.sum("n").alias("spikes"), F.count("burst_id").alias("bursts"))
-        .withColumn("from_s", F.col("window") * F.lit(step))
+        counts.withColumn("from_s", F.col("window") * F.lit(step))
         .withColumns(coordinates())
         .select("fileName", "channel_id", "x", "y", "from_s", "spikes", "bursts")
     )
 
 
+def _slid(steps: DataFrame, per_window: int, first: int, last: int | None) -> DataFrame:
+    """Spikes and bursts per window of `per_window` steps, by what enters and what leaves from window to window.
+
+    The spikes of a step are in the windows from step - per_window + 1 to step. A burst
+    that has spikes in several steps counts once: its windows begin behind those that the
+    step before has covered. Running sums over the changes of an electrode, at most two
+    for each step of the recording, hold from one change to the next; only these results
+    are written out window by window.
+    """
+    key = ["fileName", "channel_id"]
+    before = F.lag("_step").over(Window.partitionBy(*key, "burst_id").orderBy("_step"))
+    begins = F.greatest(F.col("_step") - (per_window - 1), F.lit(first))
+    ends = F.col("_step") + 1 if last is None else F.least(F.col("_step"), F.lit(last)) + 1
+    burst = F.when(F.col("burst_id").isNotNull(), 1).otherwise(0).cast("long")
+    change = lambda at, n, b: F.struct(at.alias("window"), n.alias("spikes"), b.alias("bursts"))
+    zero = F.lit(0).cast("long")
+    spans = steps.withColumn("_new", F.greatest(begins, F.coalesce(before + 1, begins))).withColumn("_end", ends)
+    changes = spans.where(F.col("_end") > begins).select(*key, F.inline(F.array(
+        change(begins, F.col("n"), zero), change(F.col("_new"), zero, burst), change(F.col("_end"), -F.col("n"), -burst))))
+    summed = changes.groupBy(*key, "window").agg(F.sum("spikes").alias("spikes"), F.sum("bursts").alias("bursts"))
+    order = Window.partitionBy(*key).orderBy("window")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = summed.select(
+        *key, "window", F.lead("window").over(order).alias("_next"),
+        F.sum("spikes").over(upto).alias("spikes"), F.sum("bursts").over(upto).alias("bursts")).where(F.col("spikes") > 0)
+    windows = F.transform(F.sequence(F.col("window"), F.col("_next") - 1), lambda w: F.struct(w.alias("window")))
+    return held.select(*key, "spikes", "bursts", F.inline(windows))
+
+
 def _frame(width: float, step: float, start: float | None, end: float | None) -> tuple[int | None, int | None]:
     """Numbers of the first and the last window inside a time frame; the slack is for decimal fractions."""
     first = None if start is None else max(0, math.ceil(start / step - 1e-9))
@@ -136,11 +159,14 @@ def raster_points(
 ) -> DataFrame:
     """Points of the spike raster inside the axis limits, with markers for the overlays.
 
-    `in_syncspike` needs spikes that carry a syncspike_id.
+    `in_syncspike` needs spikes that carry a syncspike_id, `in_syncburst` ones with the
+    syncburst_id of their burst (`synchrony.label_burst_spikes`).
     """
     points = labelled.where(
         F.col("s").between(0.0, float(xlim)) & F.col("channel_id").between(channel_min, channel_max))
     columns = ["fileName", "genotype", "channel_id", "s", F.col("burst_id").isNotNull().alias("in_burst")]
+    if "syncburst_id" in labelled.columns:
+        columns.append(F.col("syncburst_id").isNotNull().alias("in_syncburst"))
     if "syncspike_id" in labelled.columns:
         columns.append(F.col("syncspike_id").isNotNull().alias("in_syncspike"))
     return points.select(*columns)

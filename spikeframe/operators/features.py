@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.missing import complete_zero, r_mean, r_sd, ratio
-from ..layout import Layout
+from ..layout import Layout, global_rank
 from .bursts import ORDER
 
 
@@ -65,12 +65,9 @@ def positional_isi(spikes: DataFrame, layout: Layout) -> DataFrame:
     intervals, less the elements at positions j, plus the channel means.
     """
     positive = layout.channels.split(spikes, "s").where(F.col("isi") > 0)
-    ordinals = (
-        spikes.groupBy("channel_id")
-        .agg(F.min(F.struct("fileName", "seq")).alias("_first"))
-        # One row per electrode of the array, not per spike.
-        .select("channel_id", F.row_number().over(Window.orderBy("_first", "channel_id")).alias("j"))
-    )
+    first = spikes.groupBy("channel_id").agg(F.min(F.struct("fileName", "seq")).alias("_first"))
+    ordinals, last = global_rank(first, "j", "_first", "channel_id")
+    ordinals = ordinals.select("channel_id", "j")
     channels = (
         positive.groupBy("fileName", "channel_id")
         .agg(F.count("*").alias("n"), F.avg("isi").alias("m"), F.var_samp("isi").alias("v"))
@@ -88,9 +85,7 @@ def positional_isi(spikes: DataFrame, layout: Layout) -> DataFrame:
         "c", F.sum(F.col("n") * F.col("m")).over(centre) / F.sum("n").over(centre))
 
     # Elements that a channel mean replaces: only the first j_max of a channel can be.
-    # The running number has no value limit that Spark knows, so bound it by the ordinals.
     ranked = layout.channels.running_sum(positive, "_rank", F.lit(1), *ORDER)
-    last = ordinals.agg(F.max("j").alias("j")).scalar()
     early = ranked.where(F.col("_rank") <= last).select("fileName", "channel_id", "isi", "_rank")
     replaced = (
         early.join(channels.select("fileName", "channel_id", "_start"), ["fileName", "channel_id"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.channels import channels_n
 from ..functions.missing import complete_zero
 from ..layout import Layout
 
@@ -50,7 +51,7 @@ def _burst_events(bursts: DataFrame, layout: Layout, window: float) -> DataFrame
         .groupBy("fileName", "genotype", *layout.recordings.marker, "window_bin")
         .agg(
             F.count("*").alias("bursts_n"),
-            F.size(F.collect_set("channel_id")).alias("channels_n"),
+            channels_n().alias("channels_n"),
             F.min("start_time_s").alias("start_s"),
             F.max("start_time_s").alias("last_s"),
             # End of the burst that starts last.
@@ -77,6 +78,24 @@ def label_sync_bursts(bursts: DataFrame, layout: Layout, window: float = 0.050)
         *bursts.columns, "window_bin", "syncburst_id")
 
 
+def label_burst_spikes(labelled: DataFrame, bursts: DataFrame, layout: Layout, window: float = 0.050) -> DataFrame:
+    """Add to every labelled spike the `syncburst_id` of its burst; NULL outside bursts and sync events.
+
+    The table has one row per burst in an event. A burst of a heavy channel may have many
+    spikes: it is joined slice by slice.
+    """
+    channels = layout.channels
+    on = ["fileName", "channel_id", "burst_id"]
+    events = label_sync_bursts(bursts, layout, window).where(F.col("syncburst_id").isNotNull())
+    if channels.hot is None:
+        return labelled.join(events.select(*on, "syncburst_id"), on, "left").select(*labelled.columns, "syncburst_id")
+    part = channels.column
+    starts = channels.split(events, "start_time_s").withColumnRenamed(part, "_from")
+    ends = channels.split(starts, "end_time_s").withColumnRenamed(part, "_to")
+    parts = ends.select(*on, "syncburst_id", F.explode(F.sequence("_from", "_to")).alias(part))
+    return channels.split(labelled, "s").join(parts, [*on, part], "left").select(*labelled.columns, "syncburst_id")
+
+
 def sync_burst_statistics(events: DataFrame) -> DataFrame:
     """Per recording with an event. Channel numbers only count events on several channels."""
     channels = F.when(F.col("channels_n") > 1, F.col("channels_n"))
@@ -108,7 +127,7 @@ def _spike_bins(spikes: DataFrame, layout: Layout, window: float, min_prop: floa
         .groupBy("fileName", "activeChannels", *layout.recordings.marker, "window_bin")
         .agg(
             F.count("*").alias("spikes_n"),
-            F.size(F.collect_set("channel_id")).alias("channels_n"),
+            channels_n().alias("channels_n"),
             F.min("s").alias("start_s"),
             F.max("s").alias("last_s"),
         )

@@ -5,6 +5,7 @@ import math
 
 import pytest
 from helpers import by_channel, close, loop_bursts, loop_positional, loop_similarity, random_rows, spike_table
+from pyspark.sql import functions as F
 
 from spikeframe import schemas
 from spikeframe.functions.pvalues import kolmogorov_p_value, student_p_value
@@ -136,12 +137,17 @@ def test_exact_ks_counts_all_orders(spark, cut, a, b):
     assert close(row.D, d) and close(row.p_value, as_far / len(picks))
 
 
-def test_exact_ks_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(distributions, "EXACT_RATES", 6)
-    assert distributions.ks_test(_rates(spark, [1, 2, 3], [1, 2, 3]), method="exact").first().p_value == 1.0
-    with pytest.raises(ValueError, match="at most 6 rates, these are 7"):
-        distributions.ks_test(_rates(spark, [1, 2, 2, 3], [1, 2, 3]), method="exact")
-    assert distributions.ks_test(_rates(spark, [1, 2, 2, 3], [1, 2, 3])).first().n == 4
+def test_exact_ks_of_large_samples(spark):
+    """The work follows the band below D: hundreds of thousands of rates, against the limit for large samples."""
+    n = 100_000
+    hz = F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id") * 1.004 + 0.4).cast("double")
+    rates = spark.range(2 * n).select(
+        F.col("id").cast("string").alias("fileName"), F.when(F.col("id") % 2 == 0, "WT").otherwise("KO").alias("genotype"),
+        F.lit(21).alias("channel_id"), hz.alias("Hz"))
+    exact, limit = (distributions.ks_test(rates, method=m).first() for m in ("exact", "asymptotic"))
+    assert (exact.n, exact.m, exact.D) == (n, n, limit.D) and 0.1 < exact.p_value < 0.9
+    assert close(exact.p_value, limit.p_value, 0.01)
+
 
 
 def test_ks_without_a_second_group(spark):
