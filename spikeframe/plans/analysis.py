@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from ..operators.filters import active_filter, channel_filter, length_filter
 from ..operators.synchrony import (
     label_sync_bursts, label_sync_spikes, sync_burst_features, sync_spike_features,
 )
-from ..sources.snapshots import write_stage
+from ..sources.snapshots import Stage
 
 
 @dataclass(frozen=True)
@@ -34,35 +35,39 @@ class Analysis:
         tables = {"spikes": self.spikes, "bursts": self.bursts}
         if self.summary is not None:
             tables["summary"] = self.summary
-        path = write_stage(tables, directory, stage, prefix)
-        read = self.spikes.sparkSession.read.parquet
-        return replace(self, **{name: read(f"{path}/{name}") for name in tables})
+        whole = Stage(self.spikes.sparkSession, directory, stage, prefix).begin()
+        written = {name: whole.write(name, table, _in_buckets(self.layout)) for name, table in tables.items()}
+        whole.commit()
+        return replace(self, **written)
+
+
+def _in_buckets(layout: Layout) -> bool:
+    """A cut channel is spread over tasks and would be one file of a bucket."""
+    return layout.channels.hot is None
 
 
 def detect_bursts(
     spikes: DataFrame, layout: Layout,
     isi_threshold: float = 50, spikes_per_burst: int = 5, burst_duration_max: float | None = None,
-    directory: str | None = None, prefix: str = "",
+    directory: str | None = None, prefix: str = "", resume: bool = False, parameters: dict | None = None,
 ) -> Analysis:
     """Label the spikes and collect the bursts.
 
     The labelled spikes are written once, as the burst stage or else to the shared
-    folder, and the bursts are an aggregation of the written table.
+    folder, and the bursts are an aggregation of the written table. With `resume` a
+    finished stage of the same parameters is read instead.
     """
     labelled = label_spikes(spikes, layout, isi_threshold, spikes_per_burst, burst_duration_max)
     if directory is None:
         labelled = kept(labelled)
         return Analysis(labelled, bursts_of(labelled), None, layout)
-    labelled = _staged(labelled, "spikes", directory, "bursts", prefix)
-    return Analysis(labelled, _staged(bursts_of(labelled), "bursts", directory, "bursts", prefix), None, layout)
-
-
-def _staged(table: DataFrame, name: str, directory: str | None, stage: str, prefix: str) -> DataFrame:
-    """The table, written as part of a stage and read back if there is a directory."""
-    if directory is None:
-        return table
-    path = write_stage({name: table}, directory, stage, prefix)
-    return table.sparkSession.read.parquet(f"{path}/{name}")
+    stage = Stage(spikes.sparkSession, directory, "bursts", prefix, parameters)
+    if not (resume and stage.finished()):
+        stage.begin()
+        stored = stage.write("spikes", labelled, _in_buckets(layout))
+        stage.write("bursts", bursts_of(stored), _in_buckets(layout))
+        stage.commit()
+    return Analysis(stage.read("spikes"), stage.read("bursts"), None, layout)
 
 
 def add_features(analysis: Analysis, isi_mode: str = "pooled", per_minute: bool = False) -> Analysis:
@@ -92,25 +97,44 @@ def run(
     max_duration: float | None = 300, active_threshold: float = 0.01, active_inclusive: bool = False,
     isi_threshold: float = 50, spikes_per_burst: int = 5, burst_duration_max: float | None = None,
     isi_mode: str = "pooled", per_minute: bool = False, strict: bool = False, synchrony: dict | None = None,
-    directory: str | None = None, prefix: str = "",
+    directory: str | None = None, prefix: str = "", resume: bool = False,
 ) -> Analysis:
     """Filter the channels, the length and the activity, find bursts and extract all features.
 
     `isi_mode`, `per_minute` and `strict` go to the features; `synchrony` holds the
     arguments of `add_synchrony`, which is left out without it. With a directory
-    every stage from the bursts on is written there, and the next one reads it.
+    every stage from the bursts on is written there, and the next one reads it. A run that
+    broke off goes on with `resume`: finished stages are read, others written again, and
+    stages written with other arguments are an error. The spikes must be those of that run.
     """
+    spark = spikes.sparkSession
     spikes = channel_filter(spikes, meta, layout)
     spikes = length_filter(spikes, max_duration)
     spikes = active_filter(spikes, layout, active_threshold, active_inclusive)
-    analysis = detect_bursts(spikes, layout, isi_threshold, spikes_per_burst, burst_duration_max, directory, prefix)
-    summary = _staged(spike_features(analysis.spikes, layout, isi_mode), "summary", directory, "spike_features", prefix)
-    summary = burst_features(summary, analysis.bursts, layout, per_minute, strict)
-    summary = _staged(summary, "summary", directory, "burst_features", prefix)
-    analysis = replace(analysis, summary=norm_prop(summary))
+    parameters = {
+        "max_duration": max_duration, "active_threshold": active_threshold, "active_inclusive": active_inclusive,
+        "isi_threshold": isi_threshold, "spikes_per_burst": spikes_per_burst, "burst_duration_max": burst_duration_max}
+    analysis = detect_bursts(
+        spikes, layout, isi_threshold, spikes_per_burst, burst_duration_max, directory, prefix, resume, parameters)
+
+    def staged(stage: str, name: str, build: Callable[[], DataFrame], **more) -> DataFrame:
+        """The table of a stage of one table, written and read back if there is a directory."""
+        parameters.update(more)
+        if directory is None:
+            return build()
+        whole = Stage(spark, directory, stage, prefix, parameters)
+        if not (resume and whole.finished()):
+            whole.begin().write(name, build(), _in_buckets(layout))
+            whole.commit()
+        return whole.read(name)
+
+    summary = staged("spike_features", "summary", lambda: spike_features(analysis.spikes, layout, isi_mode), isi_mode=isi_mode)
+    with_bursts = staged(
+        "burst_features", "summary", lambda: burst_features(summary, analysis.bursts, layout, per_minute, strict), per_minute=per_minute)
+    analysis = replace(analysis, summary=norm_prop(with_bursts))
     if synchrony is not None:
-        analysis = add_synchrony(analysis, **synchrony)
+        synced = add_synchrony(analysis, **synchrony)
         analysis = replace(
-            analysis, bursts=_staged(analysis.bursts, "bursts", directory, "sync_bursts", prefix),
-            spikes=_staged(analysis.spikes, "spikes", directory, "sync_spikes", prefix))
-    return replace(analysis, summary=_staged(analysis.summary, "summary", directory, "norm", prefix))
+            synced, bursts=staged("sync_bursts", "bursts", lambda: synced.bursts, synchrony=synchrony),
+            spikes=staged("sync_spikes", "spikes", lambda: synced.spikes))
+    return replace(analysis, summary=staged("norm", "summary", lambda: analysis.summary, synchrony=synchrony))

@@ -13,6 +13,8 @@ split, or else from the splits before, which hand on one row each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,33 @@ CHANNEL_LINE = "t\t"
 END_LINES = ("Bined Parameters:", "Binned Parameters:")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all text files under `path` with the place they come from."""
+def read_lines(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Lines of all text files in the folder `path`: file, block, line and value.
+
+    `block` is the first byte of the range of the file that holds the line, and `line` the
+    byte at which the line begins, so the order is that of the file, whatever tasks read it.
+    Ranges have `range_bytes`, by default spark.sql.files.maxPartitionBytes. The folder is
+    read by pyarrow's file systems; for a store that only Spark's readers open there is
+    `read_lines_in_splits`.
+    """
+    from .text_ranges import source
+
+    spark.dataSource.register(source())
+    if range_bytes is None:
+        range_bytes = _bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    lines = spark.read.format("spikeframe_lines").option("rangeBytes", str(range_bytes)).load(path)
+    return lines.select("file", "block", "line", "value")
+
+
+def _bytes_of(size: str) -> int:
+    """A size of the configuration: a number of bytes, or with one of the units b, k, m, g, t."""
+    size = size.strip().lower().removesuffix("b")
+    power = "kmgt".find(size[-1:]) + 1 if size[-1:].isalpha() else 0
+    return int(size[:-1] if power else size) << 10 * power
+
+
+def read_lines_in_splits(spark: SparkSession, path: str) -> DataFrame:
+    """The same by Spark's text reader, where the order of lines within a split rests on the order of its rows."""
     return spark.read.text(path, pathGlobFilter="*.txt").select(
         # The whole path: files of equal names in different folders are different files.
         F.col("_metadata.file_path").alias("file"),
@@ -125,6 +152,7 @@ def stamp_recordings(parsed: DataFrame, meta: DataFrame, region: bool = False) -
 def compile_recordings(
     spark: SparkSession, meta: DataFrame, path: str,
     decimal: str = ".", layers: bool = False, directory: str | None = None, prefix: str = "",
+    reader: Callable[[SparkSession, str], DataFrame] = read_lines,
 ) -> tuple[DataFrame, Layout]:
     """Read all recordings that the metadata list: the raw spike table and its layout.
 
@@ -133,7 +161,7 @@ def compile_recordings(
     `directory` the finished table is written as the raw stage and read back.
     """
     check_one_file(spark, meta, path)
-    parsed = stamp_recordings(parse_lines(read_lines(spark, path), decimal), meta, region=layers)
+    parsed = stamp_recordings(parse_lines(reader(spark, path), decimal), meta, region=layers)
     spikes, layout = finish_spikes(kept(parsed), meta, layers)
     if directory is not None:
         write_stage({"spikes": spikes}, directory, "raw", prefix)
