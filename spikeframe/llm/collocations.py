@@ -1,8 +1,8 @@
 """Collocations: frequent phrases of two to five words, scored against what their parts would give by chance.
 
-Words and word pairs are first counted in a sketch: a vector of small counters by hash, summed as a tree.
-A counter is never less than what it counts, so a suffix of the text that begins with a pair of a low
-counter cannot begin a frequent phrase. The other suffixes, cut where they cannot go on, are merged in
+Words and word pairs are first counted in a sketch: two vectors of small counters by hash, summed as a
+tree. A counter is never less than what it counts, so a suffix of the text that begins with a pair of a
+low counter, in either vector, cannot begin a frequent phrase. The other suffixes, cut where they cannot go on, are merged in
 each task and routed by their leading words to ranges of their order. In a range, pointers to the
 suffixes go through a multikey three-way quicksort down to the most words: the sizes of the equal parts
 are the counts, and parts below the least count are abandoned, at any depth. Only phrases that begin the
@@ -26,7 +26,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 NO_LANG = "und"
-SKETCH_BITS = 23  # counters of the sketch, as a power of two; its size only sets the speed
+SKETCH_BITS = 23  # counters of one of the two vectors, as a power of two; their size only sets the speed
 CHUNKS = 64  # parts of a sketch that are summed by themselves
 SUMMED = 64  # sketches that one step of the tree sums
 HELD_WORDS, HELD_DISTINCT = 1 << 22, 1 << 20  # words that a task holds at a time, and distinct ones
@@ -102,13 +102,18 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, n
 
 
 def _places(lang: str, words: Words, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sketch: of each word by its number, and of the pair that begins at each position but the last."""
+    """Places in both vectors: of each word by its number, and of the pair that begins at each position but the last."""
     seed = np.uint64(xxh64_intdigest(lang.encode()))
     hashes = np.fromiter(map(xxh64_intdigest, words.list), np.uint64, len(words.list)) ^ seed
-    shift = np.uint64(64 - bits)
-    first, second = hashes * _FACTORS[0], hashes * _FACTORS[1]
-    pair = (first[numbers[:-1]] ^ (second[numbers[1:]] >> np.uint64(7))) * _FACTORS[2]
-    return ((hashes ^ (hashes >> np.uint64(29))) * _FACTORS[2] >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    first, second = hashes * _FACTORS[0], (hashes * _FACTORS[1]) >> np.uint64(7)
+    return _both(hashes ^ (hashes >> np.uint64(29)), bits), _both(first[numbers[:-1]] ^ second[numbers[1:]], bits)
+
+
+def _both(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the first vector and in the second, which lies behind it."""
+    keys, shift = keys * _FACTORS[2], np.uint64(64 - bits)
+    other = (keys ^ (keys >> np.uint64(31))) * _FACTORS[1]
+    return np.stack([(keys >> shift).astype(np.int32), (other >> shift).astype(np.int32) + np.int32(1 << bits)])
 
 
 def _sketch(rows: DataFrame, least: int, bits: int) -> tuple[DataFrame, dict[str, int]]:
@@ -116,17 +121,18 @@ def _sketch(rows: DataFrame, least: int, bits: int) -> tuple[DataFrame, dict[str
     kind = np.min_scalar_type(least)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, totals = np.zeros(1 << bits, np.int32), {}
+        counters, totals = np.zeros(2 << bits, kind), {}
         for lang, words, numbers in _gathered(batches):
             word, pair = _places(lang, words, numbers, bits)
             real = numbers > 0
             totals[lang] = totals.get(lang, 0) + int(real.sum())
             both = real[:-1] & real[1:]
-            for places in (word[numbers[real]], pair[both]):
-                counters += np.bincount(places, minlength=1 << bits).astype(np.int32)
-            np.minimum(counters, least, out=counters)
+            for half, own in enumerate(np.split(counters, 2)):
+                for places in (word[half][numbers[real]], pair[half][both]):
+                    added = np.bincount(places - np.int32(half << bits), minlength=1 << bits)
+                    own[:] = np.minimum(added + own, least)
         if totals:
-            chunks = counters.astype(kind).reshape(CHUNKS, -1)
+            chunks = counters.reshape(CHUNKS, -1)
             some = [k for k in range(CHUNKS) if chunks[k].any()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some + [-1] * len(totals), pa.int32()), pa.array([chunks[k].tobytes() for k in some] + [None] * len(totals), pa.binary()),
@@ -137,7 +143,7 @@ def _sketch(rows: DataFrame, least: int, bits: int) -> tuple[DataFrame, dict[str
     totals = made.where("chunk < 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
     def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // CHUNKS, np.int64)
+        total = np.zeros((2 << bits) // CHUNKS, np.int64)
         for counts in table.column("counts").to_pylist():
             total += np.frombuffer(counts, kind)
         chunk, task = table.column("chunk")[:1], table.column("task")[:1]
@@ -163,10 +169,10 @@ def _suffixes(rows: DataFrame, often: object, bits: int, most_words: int) -> Dat
             texts = [w.decode() + END for w in words.list]
             times = np.bincount(numbers, minlength=len(texts))
             times[0] = 0
-            some = np.flatnonzero((times > 0) & high[word])
+            some = np.flatnonzero((times > 0) & high[word].all(axis=0))
             yield _rows(lang, [texts[k] for k in some.tolist()], np.ones(len(some), np.int32), times[some])
             real = numbers > 0
-            goes_on = np.append(real[:-1] & real[1:] & high[pair], False)
+            goes_on = np.append(real[:-1] & real[1:] & high[pair].all(axis=0), False)
             at = np.flatnonzero(goes_on)
             # the words of a suffix, 0 from where no pair of a high counter goes on
             table, alive = np.zeros((len(at), most_words), np.int32), np.ones(len(at), bool)
@@ -281,8 +287,8 @@ def collocations(
     spark = docs.sparkSession
     rows = docs.where(F.col("text") != "").select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
     sketch, totals = _sketch(rows, min_count, sketch_bits)
-    # one bit for each counter, 2^sketch_bits bits whatever the corpus holds
-    size, kind = (1 << sketch_bits) // CHUNKS, np.min_scalar_type(min_count)
+    # one bit for each counter, whatever the corpus holds
+    size, kind = (2 << sketch_bits) // CHUNKS, np.min_scalar_type(min_count)
     high = np.zeros((CHUNKS, size), bool)
     for chunk, counts in sketch.select("chunk", "counts").toLocalIterator():
         high[chunk] = np.frombuffer(bytes(counts), kind) >= min_count
