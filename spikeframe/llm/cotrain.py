@@ -1,7 +1,7 @@
 """A quality classifier by co-training on two views of a document.
 
-One classifier sees the text (hashed words and shape counts), one the metadata (language, source,
-length). In each round each gives its confident labels of an unlabelled pool to the other. At the end
+One classifier sees the text (hashed words, symbols, digits, repetition), one the metadata of the page
+(language, source, length, and how it is laid out). In each round each gives its confident labels of an unlabelled pool to the other. At the end
 each view is calibrated on labelled rows that no round has seen, and the two are combined as
 independent evidence. The fit uses bounded samples; every document is scored, in one narrow pass.
 """
@@ -22,9 +22,11 @@ LABELLED_ROWS = 6000  # about so many labelled rows, picked by a hash of the id;
 POOL_ROWS = 6000  # about so many unlabelled rows
 ROUNDS = 3
 CONFIDENT = 0.95
+PENALTY, STANDARDISED = 0.001, ("meta_view",)  # rare words must not weigh more for being rare, so the text view keeps its scale
 KEEP_FROM = 0.5
 WORD_BUCKETS, META_BUCKETS = 1 << 12, 1 << 8
-TEXT_COUNTS = ("log_words", "word_chars", "symbols", "digits", "capitals", "lines")
+TEXT_COUNTS = ("symbols", "shouts", "digits", "repeated")
+META_COUNTS = ("log_length", "log_words", "word_chars", "lines", "capitals", "stops")
 
 
 def _views(rows: DataFrame) -> DataFrame:
@@ -33,17 +35,22 @@ def _views(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("words", words_of(F.col("text")))
     per_word = lambda c: c / F.greatest(F.size("words"), F.lit(1))
     count = lambda pattern: per_word(F.regexp_count(text, F.lit(pattern)))
+    level = lambda share: F.log1p(20 * share)
     rows = rows.select(
         *[c for c in rows.columns if c not in ("text", "lang", "source", "n_chars")],
-        F.log1p(F.size("words")).alias("log_words"), per_word(F.char_length(F.array_join("words", ""))).alias("word_chars"),
-        count(r"[#*$%&|<>=_{}]").alias("symbols"), count("[0-9]").alias("digits"), count("[A-Z]").alias("capitals"),
-        count("\n").alias("lines"), F.log1p(F.greatest(length, F.lit(0.0))).alias("log_length"),
+        # what the text says: shares of its words, on a scale where a few count
+        level(count(r"[#*$%&|<>=_{}]")).alias("symbols"), level(count("!")).alias("shouts"), level(count("[0-9]")).alias("digits"),
+        level(1 - per_word(F.size(F.array_distinct("words")))).alias("repeated"),
+        # how long the page is and how it is laid out
+        F.log1p(F.greatest(length, F.lit(0.0))).alias("log_length"), F.log1p(F.size("words")).alias("log_words"),
+        per_word(F.char_length(F.array_join("words", ""))).alias("word_chars"), level(count("\n")).alias("lines"),
+        level(count("[A-Z]")).alias("capitals"), level(count("[.,;:?]")).alias("stops"),
         F.array(F.concat(F.lit("lang="), F.coalesce("lang", F.lit(""))), F.concat(F.lit("source="), F.coalesce("source", F.lit("")))).alias("meta"))
     for words, buckets, counts, view in (
-            ("words", WORD_BUCKETS, TEXT_COUNTS, "text_view"), ("meta", META_BUCKETS, ("log_length",), "meta_view")):
+            ("words", WORD_BUCKETS, TEXT_COUNTS, "text_view"), ("meta", META_BUCKETS, META_COUNTS, "meta_view")):
         rows = HashingTF(numFeatures=buckets, binary=True, inputCol=words, outputCol=f"{view}_tf").transform(rows)
         rows = VectorAssembler(inputCols=[*counts, f"{view}_tf"], outputCol=view).transform(rows).drop(f"{view}_tf")
-    return rows.drop("words", "meta", "log_length", *TEXT_COUNTS)
+    return rows.drop("words", "meta", *TEXT_COUNTS, *META_COUNTS)
 
 
 def _renamed(docs: DataFrame) -> DataFrame:
@@ -85,6 +92,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Co-train on bounded samples. `labels` has doc_id and quality (0 or 1); None without both labels.
 
     Rows of `labels` without an id or with another label are left out; of several labels of a document the largest counts.
+    A third of the labelled rows is held back to calibrate both views. Where that third, or the rest, has
+    one label only, all labelled rows are fitted and calibrate too: scores are then surer than they should be.
     """
     known = kept(labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("quality").cast("double").alias("label")), "labels")
@@ -111,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for _ in range(ROUNDS):
         for view in other:
             rows = fit if given[view] is None else fit.unionByName(given[view])
-            views[view] = LogisticRegression(featuresCol=view, regParam=0.01, maxIter=25).fit(rows.select(view, "label"))
+            views[view] = LogisticRegression(
+                featuresCol=view, regParam=PENALTY, standardization=view in STANDARDISED, maxIter=40).fit(rows.select(view, "label"))
         sure = F.lit(CONFIDENT / (1 - CONFIDENT))
         for view, model in views.items():
             logit = F.col(f"{view}_logit")

@@ -88,6 +88,26 @@ def test_cotraining_on_unseen_labels(spark):
     assert right > 0.95 and sum(clean) / len(clean) > 0.98
 
 
+def test_cotraining_scores_by_hand(spark):
+    """Logits, calibration and combination of every document, from the fitted numbers."""
+    import math
+
+    from spikeframe.llm import cotrain
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = cotrain.train(docs, labels)
+    viewed = cotrain._views(cotrain._renamed(docs))
+    got = {r.doc_id: r for r in model.score(viewed).collect()}
+    for r in viewed.collect():
+        logits = []
+        for view, fitted in model.views.items():
+            slope, offset = model.calibration[view]
+            logits.append(slope * (float(fitted.coefficients.dot(r[view])) + fitted.intercept) + offset)
+        chance = lambda x: 1 / (1 + math.exp(-x))
+        want = [chance(logits[0]), chance(logits[1]), chance(sum(logits) - model.prior)]
+        assert [got[r.doc_id][c] for c in ("text_score", "meta_score", "score")] == pytest.approx(want)
+
+
 def test_packing(spark):
     docs = texts(SF)
     assert plain.check_packing(rows_of(spark, "op8_packing", SF), list(docs.items())) < 0.01
