@@ -43,6 +43,10 @@ def read_lines(spark: SparkSession, path: str, range_bytes: int | None = None) -
     spark.dataSource.register(source())
     if range_bytes is None:
         range_bytes = _bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if any(c in path for c in "*?[{"):
+        pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        path = "\n".join(f.getPath().toString().replace("file:/", "/", 1) for f in found)  # one folder per line
     lines = spark.read.format("spikeframe_lines").option("rangeBytes", str(range_bytes)).load(path)
     return lines.select("file", "block", "line", "value")
 

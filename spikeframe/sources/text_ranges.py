@@ -79,8 +79,11 @@ def source() -> type[DataSource]:
 
             from pyarrow import fs
 
-            store, base = opened(self.path)
-            files = store.get_file_info(fs.FileSelector(base)) if store.get_file_info(base).type == fs.FileType.Directory else [store.get_file_info(base)]
+            files = []
+            for path in self.path.split("\n"):
+                store, base = opened(path)
+                about = store.get_file_info(base)
+                files += store.get_file_info(fs.FileSelector(base)) if about.type == fs.FileType.Directory else [about]
             ranges = [
                 # names are percent-encoded, as Spark's own readers give them
                 Range(f.path, quote(f.path), start, min(start + self.size, f.size))
@@ -92,7 +95,7 @@ def source() -> type[DataSource]:
             schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("value", pa.string())])
             if not partition.path:
                 return
-            store, _ = opened(self.path)
+            store, _ = opened(self.path.split("\n")[0])
             with store.open_input_file(partition.path) as stream:
                 numbers, values, held = [], [], 0
 
