@@ -4,7 +4,7 @@ Fingerprints are made on the map side. The distinct ones are range-sorted into b
 size; a block is a run of neighbouring subtrees of one binary trie. Pairs of blocks whose common
 prefixes already differ in too many bits are pruned; each other pair is walked down together, bit by
 bit, and pruned where the differing bits exceed the budget. A pair returns a spanning forest of its
-links, and components are found by passing on the smallest label.
+links, and components are found by contracting the links in rounds.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ MAX_BITS = 2
 SEED = 42
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 13, 1 << 16, 1 << 12  # distinct fingerprints of a block, and the number of blocks aimed at
 SIGN = np.uint64(1 << 63)
-ONE_TASK = 1 << 20  # links (16 bytes each) of which one task finds the components
 FRAMES = 1 << 17  # node pairs that a task holds for one step
 
 
@@ -185,43 +184,44 @@ def links(distinct: DataFrame, rows: int, budget: int = MAX_BITS) -> DataFrame:
     return pairs.join(left, "i").join(right, "j").select("i", "j", "a", "b").mapInArrow(walk, "a long, b long")
 
 
-def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, label of all edges of a partition."""
-    pairs = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
-    if pairs:
-        nodes, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        label = nodes[_forest(len(nodes), at.reshape(-1, 2))]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "label"])
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """Per node of the edges: node, label, where label is the smallest node of its component.
-
-    Edges are counted. Up to ONE_TASK of them fit a task, which spares the rounds. Beyond that each
-    round takes over the smallest label of the neighbours, then the label of the label, until nothing
-    changes; every round is written, so none is computed twice. Both ways give the same labels.
+    """Per node of the edges: node, label, where label is one node of its component, the same for all its nodes.
+
+    Rounds of contraction, alike at every size. In a round each node goes over to the first, by a hash, of
+    itself and its neighbours, and an edge joins what its two ends went over to. A component that has
+    become one node has no edges left and is settled. A node that is last by the hash is never gone over
+    to, so every round leaves fewer; the hash changes every second round, since one round turns a star into
+    a star around its first node and the next, with the same hash, ends it. Then the rounds are
+    followed from the last back to the first. Rows of hubs are spread over salts, and every round is written.
     """
-    edges = kept(edges, "links")
-    if edges.count() <= ONE_TASK:
-        return kept(edges.coalesce(1).mapInArrow(_labels, "node long, label long"), "labels")
-    both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-                  .withColumn("label", F.least("node", "label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        taken = labels.join(near, F.col("node") == F.col("a"), "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = kept(taken.join(of_label, "label", "left").select(
-            "node", "old", F.least("label", "further").alias("label")), "labels")
-        changed = after.where("old <> label").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds = []
+    while edges.count():
+        ranked = lambda node: F.struct(F.xxhash64(F.lit(len(rounds) // 2), node).alias("rank"), node.alias("node"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(ranked(F.col("b"))).alias("near"), F.count("*").alias("rows"))
+        taken = kept(first.select(
+            F.col("a").alias("node"), F.least("near", ranked(F.col("a")))["node"].alias("to"), "rows"), "contraction")
+        rounds.append(taken)
+        number = taken.count()
+        for end in ("a", "b"):
+            ends = taken.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"), "rows")
+            edges = join_counted(edges, ends, [end], number, "rows", "inner")
+        edges = kept(edges.where("a_to <> b_to").select(
+            F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds[-1].select("node", F.col("to").alias("label"))
+    for taken in reversed(rounds[:-1]):
+        further = labels.select(F.col("node").alias("to"), "label")
+        ends = kept(taken.groupBy("to").agg(F.count("*").alias("rows")).join(further, "to", "left").select(
+            "to", F.coalesce("label", "to").alias("label"), "rows"), "contraction")
+        labels = kept(join_counted(taken.select("node", "to"), ends, ["to"], ends.count(), "rows", "inner").select("node", "label"), "labels")
+    return labels
 
 
 def simhash_groups(docs: DataFrame, *rest: str) -> DataFrame:
-    """Per row: fp (signed), component_id, label (the smallest fingerprint of the component), and the columns `rest`.
+    """Per row: fp (signed), component_id, label (a fingerprint that names the component), and the columns `rest`.
 
     Needs doc_id and text. A null or blank text has the fingerprint 0 and is linked like any other.
     component_id is the smallest doc_id that links reach; null ids count only where there is no other.
@@ -242,7 +242,8 @@ def simhash_groups(docs: DataFrame, *rest: str) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all columns, of which one stays for each component: the one of the smallest doc_id.
 
-    Of several rows with that id one stays; a component without any id keeps one row too.
+    Of several rows with that id one stays; a component without any id keeps one row too. A null or blank
+    text has the fingerprint 0, so all such rows are one group. An empty table gives an empty table.
     """
     d1, d2 = hash_pair(F.col("doc_id"), F.col("text"))
     keyed = docs.select(d1.alias("d1"), d2.alias("d2"), F.col("doc_id"), F.col("text"))

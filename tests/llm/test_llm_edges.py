@@ -304,8 +304,6 @@ def test_long_chains_and_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long").repartition(3)
     edges = simhash.links(df, len(values))
     labels = {r.node: r.label for r in simhash.components(edges).collect()}
-    monkeypatch.setattr(simhash, "ONE_TASK", 0)
-    assert labels == {r.node: r.label for r in simhash.components(edges).collect()}
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
     groups = {}
     for s, c in zip(signed, plain.components(values)):
@@ -316,6 +314,26 @@ def test_long_chains_and_many_blocks(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_components_of_stars_chains_and_loops(spark, monkeypatch, heavy):
+    """A hub of 300 links, a chain, a ring, loops and repeated links; with `heavy`, hubs are salted and nothing is broadcast."""
+    if heavy:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "SALT_ROWS", 7)
+    star, chain = [(k, 1000) for k in range(300)], [(2000 + k, 2001 + k) for k in range(60)]
+    ring = [(-k, -1 - k % 9) for k in range(1, 10)]
+    links = star + chain + ring + [(5000, 5000), (2001, 2000), (3000, 3001), (3000, 3001)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    rows = simhash.components(df).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.label, set()).add(r.node)
+    assert len(rows) == len({r.node for r in rows}) and all(label in nodes for label, nodes in got.items())
+    want = [set(range(300)) | {1000}, set(range(2000, 2061)), set(range(-9, 0)), {3000, 3001}]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert simhash.components(df.limit(0)).count() == 0
+
+
 def test_trie_pairs():
     rng = np.random.default_rng(1)
     near = lambda x, y: {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if int(a ^ b).bit_count() <= 2}
