@@ -1,6 +1,7 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by page id and dealt out to shards by id ranges that depend on the data alone. A
+Records are sorted by page id and digest and dealt out to shards by ranges that end where so many
+payload bytes are reached, which depends on the data alone. A
 task streams its shards into files that roll by compressed size; a file is written under a temporary
 name of the attempt and moved to its own name when complete, and a manifest, itself committed by
 Spark, lists the files that count. So a task that is lost and run again, or run twice, leaves the
@@ -16,20 +17,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spikeframe.llm.common import join_counted, kept
 
 REVISIT_BYTES = 1000  # shorter payloads are written each time
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 256 << 20  # payload
 LEAST_SHARDS, LEAST_ROWS = 32, 64  # small inputs still make so many shards, of so many rows at least
-FILE_BYTES = 256 << 20  # compressed
-SAMPLED_PER_SHARD = 64
+FILE_BYTES = 16 << 20  # compressed: several files for a shard of usual pages
+MOST_TASKS = 1 << 14  # beyond it a task writes several shards, one after the other
+HEAD_BYTES = 512  # counted for the headers of a record
+UNPACKED_ROWS = 64  # rows of a batch that a writer holds as Python values
+SIGN = np.uint64(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "manifest"
@@ -52,16 +55,36 @@ def revisits(digests: DataFrame) -> DataFrame:
     return joined.where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
+def _keys(ids: list, digests: list) -> np.ndarray:
+    """Page ids and hexadecimal digests as bytes of one length, in the order of (id, null first; digest)."""
+    out = np.zeros((len(ids), 49), np.uint8)
+    out[:, 0] = [i is not None for i in ids]
+    biased = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64) ^ SIGN
+    out[:, 1:9] = np.where(out[:, :1] > 0, biased.astype(">u8").view(np.uint8).reshape(-1, 8), 0)
+    out[:, 9:] = np.array(digests, "S40").view(np.uint8).reshape(-1, 40)
+    return out.reshape(-1).view("S49")
+
+
 def shard_limits(digests: DataFrame, rows: int, total: int) -> np.ndarray:
-    """The smallest ids of the shards after the first, from a sample that a hash of the id picks.
+    """The smallest keys of the shards after the first.
 
-    The sample, and so the shards, depend only on the ids; its size follows the number of shards.
+    A shard ends at the first key of which so many bytes lie before that they fill it. The keys are in order
+    over all tasks, so the limits depend only on ids, digests and sizes. One key for each shard comes to the
+    driver, 49 bytes for SHARD_BYTES of payload.
     """
-    shards = max(-(-total // SHARD_BYTES), min(LEAST_SHARDS, -(-rows // LEAST_ROWS)), 1)
-    every = max(1, rows // (shards * SAMPLED_PER_SHARD))
-    picked = digests.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
-    ids = np.array(sorted(r[0] for r in picked.select("page_id").distinct().collect()), np.int64)
-    return np.unique(ids[[len(ids) * k // shards for k in range(1, shards)]]) if len(ids) else ids
+    size = max(1, min(SHARD_BYTES, -(-total // max(1, min(LEAST_SHARDS, -(-rows // LEAST_ROWS))))))
+    order = F.col("page_id").asc_nulls_first(), F.col("digest").asc()
+    keys = digests.groupBy("page_id", "digest").agg(F.sum(F.col("bytes") + HEAD_BYTES).alias("bytes"))
+    parts = kept(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "warc-keys")
+    before = lambda window: F.coalesce(F.sum("bytes").over(
+        window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy("part").agg(F.sum("bytes").alias("bytes")).select(
+        "part", before(Window.orderBy("part")).alias("offset"))  # a row for each partition
+    placed = parts.withColumn("within", before(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(offsets), "part")
+    shard = F.floor((F.col("offset") + F.col("within")) / F.lit(size)).alias("shard")
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "digest")).alias("first")
+    found = [r["first"] for r in placed.groupBy(shard).agg(first).collect()]
+    return np.sort(_keys([r.page_id for r in found], [r.digest for r in found]))[1:]
 
 
 def _digest(data: bytes) -> str:
@@ -137,30 +160,30 @@ class _Files:
 def write_warc(pages: DataFrame, directory: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record per row of `pages` below `directory`, a URI that all executors reach, and return the manifest.
 
-    Needs page_id, url and html; null html is empty, a null url has no header, null ids go first.
-    Repeated rows are written each. An empty table gives an empty manifest. Other columns are not written.
+    Needs page_id, url and html; null html is empty, a null url has no header, null ids go first, spread over
+    shards by their digests. Repeated rows are written each, those of one id and payload in one shard.
+    An empty table gives an empty manifest. Other columns are not written.
     """
     spark = pages.sparkSession
     digests = kept(pages.select("page_id", F.sha1(_payload()).alias("digest"), F.octet_length(_payload()).alias("bytes")), "digests")
-    rows, total = digests.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    rows, total = digests.agg(F.count("*"), F.coalesce(F.sum(F.col("bytes") + HEAD_BYTES), F.lit(0))).first()
     limits = shard_limits(digests, rows, total)
 
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        shards = np.zeros(len(ids), np.int32)
-        shards[known] = np.searchsorted(limits, ids[known].to_numpy().astype(np.int64), side="right")
-        return pd.Series(shards)
+    tasks = min(len(limits) + 1, MOST_TASKS)
+
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(limits, _keys(ids.to_pylist(), hashes.to_pylist()), side="right"), pa.int32())
 
     columns = "page_id", "digest", "refers_to", "url", "payload"
     empty = F.lit(None)
     told = revisits(digests).select("page_id", "digest", "refers_to", empty.cast("string").alias("url"), empty.cast("binary").alias("payload"))
-    told = told.select(shard_of("page_id").alias("shard"), F.lit(0).alias("kind"), *columns)
+    told = told.select(F.lit(0).alias("kind"), *columns)
     written = pages.select("page_id", "url", _payload().alias("payload")).select(
-        shard_of("page_id").alias("shard"), F.lit(1).alias("kind"), "page_id", F.sha1("payload").alias("digest"),
-        empty.cast("long").alias("refers_to"), "url", "payload")
+        F.lit(1).alias("kind"), "page_id", F.sha1("payload").alias("digest"), empty.cast("long").alias("refers_to"), "url", "payload")
     # What a page refers to comes just before the page itself, so the writer needs no join.
-    dealt = told.unionByName(written).repartition(2 * (len(limits) + 1), "shard").sortWithinPartitions(
+    dealt = told.unionByName(written).withColumn("shard", shard_of("page_id", "digest"))
+    dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions(
         "shard", "page_id", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +191,8 @@ def write_warc(pages: DataFrame, directory: str, file_bytes: int = FILE_BYTES) -
         files = _Files(directory, f"{context.stageId()}-{context.partitionId()}-{context.taskAttemptId()}", file_bytes)
         last, copy, refers_to = None, 0, None
         for batch in batches:
-            for row in batch.to_pylist():
+            parts = (batch.slice(k, UNPACKED_ROWS) for k in range(0, batch.num_rows, UNPACKED_ROWS))
+            for row in (row for part in parts for row in part.to_pylist()):
                 if (key := (row["page_id"], row["digest"])) != last:
                     last, copy, refers_to = key, 0, None
                 if row["kind"] == 0:

@@ -380,6 +380,30 @@ def test_warc_is_deterministic(spark):
     assert written[0] == written[1]
 
 
+def test_warc_rolls_with_its_own_constants(spark):
+    """63 pages of a MiB that compress to about half: a shard holds more than one file, each but the last full."""
+    from pyspark.sql import functions as F
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda k: F.sha2(F.concat_ws("-", "id", k), 512)), "")
+    df = spark.range(63).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(text, F.reverse(text)).alias("html"))
+    at = common.shared_folder(spark, "warc")
+    files = sorted(tuple(r) for r in warc.write_warc(df, at).select("file", "shard", "bytes", "records").collect())
+    assert len(files) > 1 and {f[1] for f in files} == {0} and sum(f[3] for f in files) == 63
+    assert all(f[2] >= warc.FILE_BYTES for f in files[:-1])
+    assert sorted(r.page_id for r in warc.read_warc(spark, at).collect()) == list(range(63))
+
+
+def test_warc_spreads_rows_without_id(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha1(F.col("id").cast("string")), F.lit(9)).alias("html"))
+    at = common.shared_folder(spark, "warc")
+    manifest = warc.write_warc(df, at).collect()
+    assert len(manifest) == warc.LEAST_SHARDS and max(r.records for r in manifest) < 2 * 4000 / warc.LEAST_SHARDS
+    assert warc.read_warc(spark, at).where("page_id is null").count() == 1334
+
+
 def test_warc_empty_and_damaged(spark):
     _, df = pages(spark)
     at = common.shared_folder(spark, "warc")
