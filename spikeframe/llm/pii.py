@@ -4,7 +4,8 @@ Base spans follow fixed patterns and always stay. Beyond them, generators propos
 at high recall, gradient-boosted trees score each by format and context, and the spans above their
 kind's threshold are added. The trees are trained on a bounded sample of texts, which a hash picks from
 the whole table and which prefers texts with base spans of each kind: base spans in rewritten forms (a phone number without its +, a card with dots, an address written out) are the positive
-examples, all other candidates that touch no base span and damaged base spans the negative ones. One half of the texts
+examples, as are cards and phone numbers beside other numbers, which the base patterns drop; all other
+candidates that touch no base span and damaged base spans are the negative ones. One half of the texts
 trains, the other calibrates the thresholds. Scoring is one pass over the texts without a shuffle.
 """
 
@@ -19,9 +20,11 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spikeframe.llm.common import kept
+
 KINDS = ("email", "ip", "card", "phone")  # fixed order of spans
 SAMPLE_ROWS = 4000  # pieces that train and calibrate, a fifth for each kind and for texts without base spans
 PIECE = 4096  # characters of a piece: a whole text, or a window of a longer one
@@ -29,7 +32,7 @@ TREES, DEPTH, STEP, SEED = 40, 4, 0.3, 7
 PRECISION = 0.98  # of added spans, on the calibration half
 SCORED = 4096  # candidates scored at a time
 CONTEXT = 24  # characters on either side
-TEXT_CANDIDATES, TEXT_SPANS, LONGEST, FORMS = 64, 8, 200, 4  # of a text in training: plain candidates, rewritten spans, characters and forms of one
+TEXT_CANDIDATES, TEXT_SPANS, LONGEST, FORMS = 64, 8, 200, 6  # of a text in training: plain candidates, rewritten spans, characters and forms of one
 
 # Base patterns (fixed values), in forms whose search is linear: the local part of an address is looked
 # for backwards from its @, and a number begins where no digit stands before.
@@ -274,9 +277,47 @@ def _written_phone(body: str, turn: int) -> tuple[str, bool]:
     return forms[turn % len(forms)]
 
 
-def _rewritten(span: Span, body: str, turn: int) -> list[tuple[str, bool]]:
-    """Pieces that stand for a span: it in another form, and numbers next to it; each with whether it is personal data."""
+def _number(body: str, turn: int) -> str:
+    """Other digits in the form of `body`."""
+    return _DIGIT.sub(lambda m: str((int(m.group()) * 7 + m.start() * (turn % 9 + 1) + turn) % 10), body)
+
+
+def _checked(digits: str) -> str:
+    """The digits with the last one changed so that they pass Luhn."""
+    return next(x for k in "0123456789" if luhn(x := digits[:-1] + k))
+
+
+def _beside(kind: str, body: str, turn: int) -> list[tuple[str, bool | str]]:
+    """A card or a phone number in its own form beside another number, which the base pattern takes for one number
+    with it and then drops; the kind stands for a piece that is personal data of another kind."""
+    if kind == "card":
+        digits, joint = _DIGITS.sub("", body), ("", "", " ", "-")[turn // 3 % 4]
+        form = lambda x: joint.join(x[k:k + 4] for k in range(0, len(x), 4)) if joint else x
+        card, other, phone = form(digits), form(_checked(_number(digits, turn))), _number("+1 (269) 555-3296", turn)
+    else:
+        card, other, phone = _checked(_number("4524132264652876", turn)), _checked(_number("4853168114407329", turn)), body
+    wrong = card[:-1] + str((int(card[-1]) + 1 + turn % 8) % 10)
+    ip = ".".join(str(turn * k % 256) for k in (37, 91, 53, 113))
+    few, year, space = str(turn * 7 % 60 + 1), str(1950 + turn * 13 % 100), (" ", False)
+    one, two, called = (card, "card"), (other, "card"), (phone, "phone")
+    around = [
+        [one, space, two], [called, space, one], [one, space, (ip, False)], [(ip, False), space, one], [called, space, (ip, False)],
+        [(wrong, False), space, one], [one, space, (wrong, False)], [called, space, one, space, (ip, False)],
+        [called, space, (wrong, False)], [(year, False), space, one], [one, space, (few, False)], [called, space, (year, False)],
+        [one, space, two, space, one], [(wrong, False), space, (wrong[::-1], luhn(_DIGITS.sub("", wrong[::-1])) and "card")],
+    ]
+    if kind == "phone":  # the neighbours of a card alone are left to the cards
+        around = [pieces for pieces in around if called in pieces]
+    return around[turn // 12 % len(around)]
+
+
+def _rewritten(span: Span, body: str, turn: int) -> list[tuple[str, bool | str]]:
+    """Pieces that stand for a span: it in another form, and numbers next to it; each with whether it is personal data
+    of the span's kind, or of which kind."""
     kind = span[0]
+    if kind in ("card", "phone") and turn % 2:
+        return _beside(kind, body, turn)
+    turn //= 2 if kind in ("card", "phone") else 1
     if kind == "email":
         return [_written_email(body, turn)]
     if kind == "ip":
@@ -307,14 +348,14 @@ def _addable(text: str, base: list[Span]) -> list[Span]:
     return [s for s in _candidates(text) if _clear(starts, ends, s[1], s[2])]
 
 
-def examples(texts: list[str]) -> pd.DataFrame:
-    """Candidates of the texts and of rewritten texts that could be added: text number, kind, features x0.., label.
+def examples(texts: list[str], first: int = 0) -> pd.DataFrame:
+    """Candidates of the texts and of rewritten texts that could be added: text number (from `first`), kind, features x, label.
 
     Those that touch a base span are left out, so that precision is that of added spans. An ip has no good
     rewritten form, so none is ever added.
     """
     rows = []
-    for number, text in enumerate(texts):
+    for number, text in enumerate(texts, first):
         base = base_spans(text)
         found = _addable(text, base)
         for s in found[:: -(-len(found) // TEXT_CANDIDATES) or 1]:
@@ -327,7 +368,7 @@ def examples(texts: list[str]) -> pd.DataFrame:
                 at, right = len(before), set()
                 for piece, good in pieces:
                     if good:
-                        right.add((kind, at, at + len(piece)))
+                        right.add((kind if good is True else good, at, at + len(piece)))
                     at += len(piece)
                 changed = before + "".join(piece for piece, _ in pieces) + after
                 for s in _addable(changed, base_spans(changed)):
@@ -397,18 +438,37 @@ def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     return list(dict.fromkeys(piece for _, piece in sorted(set().union(*by.values()))))[:rows]
 
 
+def _example_table(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """`examples` of each text, made and written by tasks: text, place (order within the text), kind, x, label."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = examples([text], number)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found["text"], pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found["kind"], pa.string()),
+                     pa.array(found["x"], pa.list_(pa.float64())), pa.array(found["label"], pa.float64())],
+                    ["text", "place", "kind", "x", "label"])
+
+    table = spark.createDataFrame(list(enumerate(texts)), "text long, piece string").repartition(max(1, -(-len(texts) // 128)))
+    return kept(table.mapInArrow(make, "text long, place long, kind string, x array<double>, label double"), "pii-examples")
+
+
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit trees and thresholds on the pieces of `training_texts`; without both labels nothing is ever added."""
-    found = examples(training_texts(docs, rows))
-    held = (found["text"] % 2 == 1).to_numpy() if len(found) else np.zeros(0, bool)
-    fit, nothing = found[~held], Model(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1)), (np.inf,) * len(KINDS))
-    if fit["label"].nunique() < 2:
+    """Fit trees and thresholds on the pieces of `training_texts`; without both labels nothing is ever added.
+
+    The trees are fitted in one task, in a fixed order, so that reruns agree; the sample bounds it. Of the
+    calibration half kind, features and label come to the driver.
+    """
+    nothing = Model(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1)), (np.inf,) * len(KINDS))
+    found = _example_table(docs.sparkSession, training_texts(docs, rows))
+    fit, held = found.where("text % 2 = 0"), found.where("text % 2 = 1")
+    if fit.select("label").distinct().count() < 2:
         return nothing
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.functions import array_to_vector
 
-    table = docs.sparkSession.createDataFrame(
-        [(Vectors.dense(x), y) for x, y in zip(fit["x"], fit["label"])], ["features", "label"]).coalesce(1)
+    table = fit.coalesce(1).sortWithinPartitions("text", "place").select(array_to_vector("x").alias("features"), "label")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, maxBins=64).fit(table)
     size = 2 ** (DEPTH + 1) - 1
     feature, split, value = (np.full((TREES, size), v) for v in (-1, 0.0, 0.0))
@@ -421,7 +481,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 feature[t, k], split[t, k] = node.split().featureIndex(), node.split().threshold()
                 todo += [(node.leftChild(), 2 * k + 1), (node.rightChild(), 2 * k + 2)]
     model = Model(feature, split, value, (np.inf,) * len(KINDS))
-    return Model(feature, split, value, _calibrated(model, found[held]))
+    return Model(feature, split, value, _calibrated(model, held.select("kind", "x", "label").toPandas()))
 
 
 def _calibrated(model: Model, held: pd.DataFrame) -> tuple[float, ...]:

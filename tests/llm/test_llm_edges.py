@@ -124,6 +124,26 @@ def test_pii_proposes_each_number_of_a_line():
     assert len(pii.candidates("1 " * 20_000)) < 18 * 20_000
 
 
+def test_pii_adds_cards_and_phones_beside_other_numbers(spark):
+    """Values of sf0.1 that the base patterns take together with a neighbour, and drop; what is added is right."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.train(docs)
+    texts = {
+        "Éçan 7536784127813050 4845168114407329 èaique": ["7536784127813050", "4845168114407329"],
+        "erntou +1 (269) 555-3296 4524132264652876 and": ["+1 (269) 555-3296", "4524132264652876"],
+        "egraso 4451718024887799 27.65.93.188 arr": ["4451718024887799"],
+        "call 38.253.197.126 4880761348116108 so": ["4880761348116108"],
+    }
+    for text, want in texts.items():
+        assert sorted(text[i:j] for _, i, j in model.added(text, pii.base_spans(text))) == sorted(want), text
+    rows = pii.find_pii(docs, model).where("size(spans) > size(base_spans)").join(docs, "doc_id").collect()
+    added = [(s.kind, r.text[s.start:s.end]) for r in rows for s in r.spans if s not in r.base_spans]
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    right = [(k, x) for k, x in added if (k == "card" and len(digits(x)) == 16 and pii.luhn(digits(x))) or (k == "phone" and x[:2] == "+1")]
+    assert {"7536784127813050", "4845168114407329", "4550997810720808"} <= {x for k, x in added if k == "card"}
+    assert len(right) >= 0.9 * len(added)
+
+
 def test_pii_adds_each_number_of_a_line(spark):
     model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     for text, want in (
