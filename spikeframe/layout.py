@@ -31,7 +31,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .functions.channels import channels_n
+from .functions.channels import CHANNELS, channel_masks, members, members_n
 
 ROWS_PER_SLICE = 1 << 22
 BROADCAST_ROWS = 1_000_000
@@ -136,9 +136,9 @@ class Slicing:
         slices, longest = hot.agg(F.coalesce(F.sum("_cuts"), F.lit(0)), F.coalesce(F.max("_cuts"), F.lit(0))).first()
         return cls(tuple(keys), column, count, hot, slices, longest) if slices else whole
 
-    def hinted(self, table: DataFrame) -> DataFrame:
-        """A table with at most one row per slice of the cut keys, to be broadcast if that is few."""
-        return _hinted(table, self.slices)
+    def hinted(self, table: DataFrame, per_slice: int = 1) -> DataFrame:
+        """A table with at most so many rows per slice of the cut keys, to be broadcast if that is few."""
+        return _hinted(table, self.slices * per_slice)
 
     # ---- slices -------------------------------------------------------------
 
@@ -279,20 +279,23 @@ class Slicing:
 
 @dataclass(frozen=True)
 class Layout:
-    """Row counts of a spike table by recording and by channel."""
+    """Row counts of a spike table by recording and by channel, and the ids of its channels."""
 
     recordings: Slicing
     channels: Slicing
+    channel_ids: tuple[int, ...] = tuple(range(CHANNELS))
 
     @classmethod
     def measure(cls, spikes: DataFrame, position: str = "s") -> Layout:
         """Count the rows. The same pass checks that a recording has one genotype and one length; else it is an error."""
         constant = [c for c in CONSTANT if c in spikes.columns]
-        files = _counts(spikes, ["fileName"], channels_n().alias("channels"), *[_varies(c).alias(f"_{c}") for c in constant])
+        low, high = channel_masks()
+        files = _counts(spikes, ["fileName"], low.alias("low"), high.alias("high"), *[_varies(c).alias(f"_{c}") for c in constant])
         varies = F.when(F.exists(F.array(F.lit(False), *[F.col(f"_{c}") for c in constant]), lambda v: v), F.col("fileName"))
         head = files.agg(
             F.count("*").alias("files"),
-            F.coalesce(F.sum("channels"), F.lit(0)).alias("channels"),
+            F.coalesce(F.sum(members_n(F.col("low")) + members_n(F.col("high"))), F.lit(0)).alias("channels"),
+            F.bit_or("low").alias("low"), F.bit_or("high").alias("high"),
             F.max("_n").alias("peak"),
             F.count(varies).alias("varying"), F.min(varies).alias("first"), F.max(varies).alias("last"),
         ).first()
@@ -300,12 +303,12 @@ class Layout:
             names = head["first"] if head["varying"] == 1 else f"{head['first']} to {head['last']}"
             raise ValueError(f"{' or '.join(constant)} differs within {head['varying']} recordings: {names}")
         recordings = Slicing._cut(spikes, files, ["fileName"], position, "recording_slice", head["files"], head["peak"])
-        keys = ["fileName", "channel_id"]
+        keys, ids = ["fileName", "channel_id"], members(head["low"], head["high"])
         if head["peak"] is None or head["peak"] <= rows_per_slice(spikes.sparkSession):
             # No channel has more rows than its recording.
-            return cls(recordings, Slicing(tuple(keys), "slice", head["channels"]))
+            return cls(recordings, Slicing(tuple(keys), "slice", head["channels"]), ids)
         counts = _counts(spikes, keys)
-        return cls(recordings, Slicing._cut(spikes, counts, keys, position, "slice", head["channels"], head["peak"]))
+        return cls(recordings, Slicing._cut(spikes, counts, keys, position, "slice", head["channels"], head["peak"]), ids)
 
 
 def _varies(column: str) -> Column:

@@ -5,79 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..layout import Layout
+from ..layout import Layout, kept
 
-_PART = "fileName string, ref_channel int, comp_channel int, value double"
+_FIRST = float("-inf")
 
 
 def channel_similarity(events: DataFrame, layout: Layout, time: str = "s") -> DataFrame:
     """Sum over the events of `ref_channel` of the squared distance to the nearest on `comp_channel`.
 
     Works for spikes and, with time="start_time_s", for bursts. One row per
-    ordered pair of channels, 0 on the diagonal. Events are shuffled once, by
-    recording. A recording too large for one task goes by time slice, and each
-    slice also gets the last event before it and the first one after it of every
-    channel, so the nearest event is always at hand.
+    ordered pair of channels, 0 on the diagonal.
+
+    An event of a channel is its nearest one from half way after the event before
+    it. So each event also gives a row at that moment, and one pass in time order
+    over a recording holds the nearest event of every channel: a running maximum
+    for each channel id of the layout, of which there are at most 128. A recording
+    too large for one task goes by time slice, and each slice starts with the
+    nearest events that hold at its start. Events without a time or channel are left out.
     """
-    recordings = layout.recordings
-    points = recordings.split(
-        events.where(F.col(time).isNotNull()).select("fileName", "channel_id", F.col(time).alias("t")), "t"
-    ).withColumn("own", F.lit(True))
-    if recordings.hot is not None:
-        points = points.unionByName(_neighbours(points, layout))
-    parts = points.groupBy(*recordings.group).applyInPandas(_nearest(), _PART)
+    recordings, group = layout.recordings, layout.recordings.group
+    known = F.col(time).isNotNull() & F.col("channel_id").isNotNull()
+    points = events.where(known).select("fileName", "channel_id", F.col(time).alias("t"))
+    # One exchange by recording serves the windows by channel and by time, and the sums.
+    points = recordings.split(points, "t").repartition(*group)
+    before = F.lag("t").over(Window.partitionBy(*group, "channel_id").orderBy("t"))
     if recordings.hot is None:
-        return parts
-    return parts.groupBy("fileName", "ref_channel", "comp_channel").agg(F.sum("value").alias("value"))
-
-
-def _neighbours(points: DataFrame, layout: Layout) -> DataFrame:
-    """Events that slices need from outside: per channel, the nearest on either side."""
+        points = points.withColumn("before", before)
+    else:
+        points = points.withColumn("_before", before)
+        earlier = recordings.hinted(_carried(points, "t", layout), len(layout.channel_ids))
+        points = points.join(earlier, [*group, "channel_id"], "left").withColumn("before", F.coalesce("_before", "_carry"))
+    rows = _with_turns(points)
+    if recordings.hot is not None:
+        # A turn may lie in an earlier slice than its event.
+        rows = recordings.split(rows, "at")
+        start = _carried(rows, "nearest", layout).select(
+            *group, "channel_id", F.lit(_FIRST).alias("at"), F.lit(False).alias("own"), F.col("_carry").alias("nearest"))
+        rows = rows.unionByName(start)
+    # Sorted while narrow; the window takes this order. Its frame ends with the rows of the same
+    # time, so a turn holds for events at its very moment. Text, since there are columns for each channel.
+    rows = rows.sortWithinPartitions(*group, "at")
+    upto = f"OVER (PARTITION BY {', '.join(group)} ORDER BY at)"
+    ids = layout.channel_ids
+    gaps = rows.selectExpr("*", *[f"max(IF(channel_id = {c}, nearest, NULL)) {upto} AS _{c}" for c in ids]).where("own")
+    sums = gaps.groupBy("fileName", F.col("channel_id").alias("ref_channel")).agg(
+        F.expr(f"array({', '.join(f'sum((at - _{c}) * (at - _{c}))' for c in ids)})").cast("array<double>").alias("sums"))
+    pairs = sums.select("fileName", "ref_channel", F.posexplode("sums").alias("at", "value")).where(F.col("value").isNotNull())
+    comp = F.get(F.lit(list(ids)).cast("array<int>"), F.col("at"))
+    value = F.when(F.col("ref_channel") == F.col("comp_channel"), 0.0).otherwise(F.col("value"))
+    return pairs.select("fileName", "ref_channel", comp.alias("comp_channel"), "value").withColumn("value", value)
+
+
+def _with_turns(points: DataFrame) -> DataFrame:
+    """Every event, and the moment from which it is the nearest one of its channel."""
+    half = F.col("before") + (F.col("t") - F.col("before")) / 2
+    # Between neighbouring numbers half way is rounded to one of them; only the event itself will do then.
+    turn = F.when(F.col("before").isNull(), _FIRST).when(half > F.col("before"), half).otherwise(F.col("t"))
+    event = F.struct(F.col("t").alias("at"), F.lit(True).alias("own"), F.lit(None).cast("double").alias("nearest"))
+    turned = F.struct(turn.alias("at"), F.lit(False).alias("own"), F.col("t").alias("nearest"))
+    return points.select("fileName", "channel_id", F.inline(F.array(event, turned)))
+
+
+def _carried(rows: DataFrame, value: str, layout: Layout) -> DataFrame:
+    """The latest `value` of a channel before a slice of a cut recording; it never decreases with time.
+
+    At most one row per slice and channel, kept, since two steps read it.
+    """
     recordings = layout.recordings
     part = recordings.column
-    ends = (
-        recordings.only_hot(points)
-        .groupBy("fileName", part, "channel_id")
-        .agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    )
-    # One row per slice of a cut recording and channel.
-    order = Window.partitionBy("fileName", "channel_id").orderBy(part)
-    ends = ends.withColumns({"prev": F.lag(part).over(order), "next": F.lead(part).over(order)})
-    ends = ends.join(recordings.hinted(recordings.hot.select("fileName", "_cuts")), "fileName")
-    up_to = F.coalesce(F.col("next"), F.col("_cuts") - 1)
-    down_to = F.coalesce(F.col("prev"), F.lit(0))
-    after = ends.where(up_to > F.col(part)).select(
-        "fileName", "channel_id", F.col("last").alias("t"), F.explode(F.sequence(F.col(part) + 1, up_to)).alias(part))
-    before = ends.where(down_to < F.col(part)).select(
-        "fileName", "channel_id", F.col("first").alias("t"), F.explode(F.sequence(down_to, F.col(part) - 1)).alias(part))
-    return after.unionByName(before).withColumns({"own": F.lit(False), recordings.marker[0]: F.lit(True)})
-
-
-def _nearest():
-    # Defined in here, so that it travels to the executors by value.
-    def nearest(group):
-        import numpy as np
-        import pandas as pd
-
-        own = group[group["own"]].sort_values(["channel_id", "t"])
-        t = own["t"].to_numpy()
-        refs, ref_of = np.unique(own["channel_id"].to_numpy(), return_inverse=True)
-        out = []
-        for comp, times in group.groupby("channel_id")["t"]:
-            x = np.sort(times.to_numpy())
-            at = np.searchsorted(x, t)
-            below = t - x[np.maximum(at - 1, 0)]
-            above = x[np.minimum(at, len(x) - 1)] - t
-            gap = np.minimum(below * below, above * above)
-            out.append(pd.DataFrame({
-                "fileName": group["fileName"].iloc[0],
-                "ref_channel": refs.astype("int32"),
-                "comp_channel": np.int32(comp),
-                "value": np.bincount(ref_of, weights=gap, minlength=len(refs)),
-            }))
-        return pd.concat(out)
-
-    return nearest
+    last = recordings.only_hot(rows).groupBy("fileName", part, "channel_id").agg(F.max(value).alias("_carry"))
+    later = F.lead(part).over(Window.partitionBy("fileName", "channel_id").orderBy(part))
+    last = last.where(F.col("_carry").isNotNull()).withColumn("_next", later)
+    last = last.join(recordings.hinted(recordings.hot.select("fileName", "_cuts")), "fileName")
+    upto = F.coalesce(F.col("_next"), F.col("_cuts") - 1)
+    # Each stands up to the next slice that has a value.
+    carried = last.where(upto > F.col(part)).select(
+        "fileName", "channel_id", "_carry", F.explode(F.sequence(F.col(part) + 1, upto)).alias(part))
+    return kept(carried).withColumn(recordings.marker[0], F.lit(True))
 
 
 def similarity_log(similarity: DataFrame) -> DataFrame:

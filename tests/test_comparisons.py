@@ -142,3 +142,13 @@ def test_a_recording_has_one_genotype_and_length(spark):
     both = [*good, ("a", 31, 2.0, None, "KO", 300.0), ("b", 31, 2.0, None, "WT", 200.0)]
     with pytest.raises(ValueError, match="2 recordings: a to b"):
         Layout.measure(spike_table(spark, both, layout=False))
+
+
+def test_similarity_stays_in_spark(spark):
+    from spikeframe.operators import similarity
+
+    spikes, layout = spike_table(spark, random_rows(seed=41))
+    assert layout.channel_ids == (21, 31, 41, 51)
+    plan = similarity.channel_similarity(spikes, layout)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spikeframe import schemas
 from spikeframe.functions.pvalues import kolmogorov_p_value, student_p_value
-from spikeframe.layout import BROADCAST_ROWS_CONF, ROWS_PER_SLICE_CONF
+from spikeframe.layout import BROADCAST_ROWS_CONF, ROWS_PER_SLICE_CONF, Layout
 from spikeframe.operators import bursts, distributions, features, similarity, synchrony
 
 CUT = [None, 5]
@@ -93,6 +93,21 @@ def test_similarity_equals_all_pairs(spark, cut):
     assert all(close(got[k], want[k], 1e-7) for k in want)
 
 
+def test_similarity_of_odd_times(spark, cut):
+    # Equal times, neighbouring numbers, an event half way, channels of one event, missing times and channels.
+    up = math.nextafter(1.0, 2.0)
+    times = {12: [1.0, 1.0, up, 3.0, 3.0], 13: [2.0, up], 87: [2.0], 14: [1.0, up, 3.0] * 4}
+    rows = [("a", c, t, None) for c, ts in times.items() for t in ts] + [("b", 12, 5.0, None)]
+    spikes, layout = spike_table(spark, rows + [("a", 12, None, None), ("b", 15, None, None), ("a", None, 9.0, None)])
+    got = {(r.fileName, r.ref_channel, r.comp_channel): r.value for r in similarity.channel_similarity(spikes, layout).collect()}
+    want = {("a", a, b): sum(min((t - u) ** 2 for u in times[b]) for t in times[a]) for a in times for b in times}
+    want[("b", 12, 12)] = 0.0
+    # Half way is rounded; a channel that is matched event by event still has exactly 0.
+    assert set(got) == set(want) and all(close(got[k], want[k]) and (got[k] == 0) == (want[k] == 0) for k in want)
+    none = spikes.where("false")
+    assert similarity.channel_similarity(none, Layout.measure(none)).count() == 0
+
+
 @pytest.mark.parametrize("width", [0.05, 5.0])
 def test_spike_synchrony_equals_the_bins(spark, cut, width):
     rows = random_rows(seed=6, channels=3)
