@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
 from spikeframe import schemas  # noqa: E402
-from spikeframe.layout import Layout, kept  # noqa: E402
+from spikeframe.layout import Layout, kept, kept_folder  # noqa: E402
 from spikeframe.operators import (  # noqa: E402
     bursts as B, channels as C, distributions as D, electrodes as E, features as X,
     filters as FL, groups as G, similarity as S, synchrony as Y,
@@ -97,6 +98,40 @@ def _tidy(d: Data) -> DataFrame:
     return M.tidy_meta(meta)
 
 
+def _new_folder(d: Data) -> str:
+    return f"{kept_folder(d.spikes.sparkSession)}/{uuid.uuid4().hex}"
+
+
+def _meta_file(d: Data) -> DataFrame:
+    """The metadata, written as CSV files and read from them."""
+    path = _new_folder(d)
+    d.meta.write.option("header", True).csv(path)
+    return M.read_meta(d.meta.sparkSession, path, optional=True)
+
+
+def _snapshot(d: Data) -> DataFrame:
+    """The labelled spikes out of a finished stage."""
+    folder = _new_folder(d)
+    N.write_stage({"spikes": d.labelled(), "bursts": d.bursts()}, folder, "bursts", "P60")
+    return N.read_stage(d.spikes.sparkSession, folder, "bursts", "spikes", "P60").select(*SPIKES, "isiThreshold", "burst_id")
+
+
+def _exported(d: Data) -> DataFrame:
+    """The comparison of two groups, written as CSV and read back."""
+    path = _new_folder(d)
+    table = G.bi_summary(d.norm())
+    N.write_summary_table(table, path)
+    return d.spikes.sparkSession.read.option("header", True).schema(table.schema).csv(path)
+
+
+def _compiled(d: Data) -> DataFrame:
+    """Summaries of three stages, written under their prefixes and read as one table."""
+    folder = _new_folder(d)
+    for prefix, threshold in (("P5", 1000), ("P15", 1500), ("P60", 2500)):
+        N.write_stage({"summary": d.features(threshold)}, folder, "norm", prefix)
+    return N.compile_summaries(d.spikes.sparkSession, folder)
+
+
 def _export_lines(d: Data) -> DataFrame:
     """The spikes as lines of text exports, in blocks of one second of one channel."""
     base = F.col("channel_id").cast("long") * 10**12
@@ -180,6 +215,7 @@ def queries() -> dict[str, Query]:
     registered = {
         # sources
         "meta_scan": _query(lambda d: d.meta),
+        "meta_read": _query(_meta_file),
         "meta_tidy": _query(_tidy),
         "ingest_text": _query(_ingest),
         "spikes_with_meta": _query(lambda d: C.stamp_metadata(
@@ -189,6 +225,9 @@ def queries() -> dict[str, Query]:
         "layer_tag": _query(lambda d: C.tag_layers(d.spikes, d.meta, d.layout).select(*spike_key, "layer")),
         "compile_summaries": _query(lambda d: N.stack_summaries({
             "P5": d.features(1000), "P15": d.features(1500), "P60": d.features(2500)}).select("index", *all_features)),
+        "compile_stages": _query(lambda d: _compiled(d).select("index", *all_features)),
+        "stage_snapshot": _query(_snapshot),
+        "summary_export": _query(_exported),
         # filters
         "sample_filter": _spikes_of(lambda d: FL.sample_filter(d.spikes, d.meta, d.layout)),
         "sample_filter_flag": _spikes_of(lambda d: FL.sample_filter(
@@ -227,6 +266,7 @@ def queries() -> dict[str, Query]:
         "inter_burst_interval": _features("ibi_mean", "ibi_sd"),
         "burst_features": _query(lambda d: d.features().select(*all_features)),
         "burst_features_sparse": _query(lambda d: d.features(SPARSE).select(*all_features)),
+        "burst_features_none": _query(lambda d: d.features(-1).select(*all_features)),
         # synchrony
         "syncburst_bins": _query(lambda d: Y.label_sync_bursts(d.bursts(), d.layout, 5).select(
             "fileName", "channel_id", "burst_id", "window_bin", "syncburst_id")),
@@ -244,6 +284,8 @@ def queries() -> dict[str, Query]:
             *spike_key, "window_bin", "syncspike_id")),
         # normalisation
         "norm_prop": _query(lambda d: d.norm(SPARSE).select("fileName", *NORM)),
+        "norm_prop_no_bursts": _query(lambda d: X.norm_prop(d.summary()).select(
+            *RECORDING, "spike_n", "spike_n_NORM", "activeChannels_PROP2totalChannels")),
         "norm_prop_sync": _query(lambda d: d.synced().select("fileName", *oracle_queries.SYNC_RATIOS)),
         # groups
         "feature_long": _query(lambda d: G.feature_long(d.norm())),

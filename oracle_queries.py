@@ -537,4 +537,15 @@ kept AS (
     out["analysis_summary"] = _sql(
         f"SELECT {RECORDING}, {_rounded(*SPIKE_FEATURES, *BURST_FEATURES, *NORM_COLUMNS)} FROM norm",
         kept, _bursts(2500, source="kept"), _spike_summary("kept"), BURST_SUMMARY, NORM)
+    # What is written and read back is what was written.
+    for stored, as_written in (("meta_read", "meta_scan"), ("compile_stages", "compile_summaries"),
+                               ("stage_snapshot", "spikes_labelled"), ("summary_export", "bi_summary")):
+        out[stored] = out[as_written]
+    zeros = ", ".join(f"CAST(0 AS {'BIGINT' if n in INTEGERS else 'DOUBLE'}) AS {n}" for n in BURST_FEATURES)
+    out["burst_features_none"] = _sql(f"SELECT {RECORDING}, {_rounded(*SPIKE_FEATURES)}, {zeros} FROM spike_summary", _spike_summary())
+    out["norm_prop_no_bursts"] = _sql(f"""
+SELECT {RECORDING}, CAST(spike_n AS BIGINT) AS spike_n,
+       round(spike_n / nullif(CAST(activeChannels AS DOUBLE), 0), 6) AS spike_n_NORM,
+       round(activeChannels / nullif(CAST(totalChannels AS DOUBLE), 0), 6) AS activeChannels_PROP2totalChannels
+FROM spike_summary""", _spike_summary())
     return out
