@@ -36,6 +36,7 @@ if WITH_TEXT:
 
 Query = Callable[[SparkSession, str], DataFrame]
 DENSE, SPARSE = 2500, 1000  # ms: bursts in every recording, bursts in some
+LINE_RANGE = 1 << 16  # bytes of a text file that one task reads
 SPIKES = [f.name for f in schemas.SPIKES.fields]
 RECORDING = schemas.RECORDING
 NORM = ["spike_n_NORM", "burst_n_NORM", "activeChannels_PROP2totalChannels", "burst_spikes_PROP2totalSpikes"]
@@ -161,8 +162,17 @@ def _export_lines(d: Data) -> DataFrame:
     return heads.unionByName(rows).unionByName(ends)
 
 
-def _ingest(d: Data) -> DataFrame:
-    parsed = R.stamp_recordings(R.parse_lines(_export_lines(d)), d.meta)
+def _line_files(d: Data) -> DataFrame:
+    """The lines of the text exports, written to a file for each recording and read by byte ranges."""
+    folder = _new_folder(d)
+    lines = _export_lines(d).withColumn("rec", M.base_name("file"))
+    lines.repartition("rec").sortWithinPartitions("rec", "block", "line").select("rec", "value").write.partitionBy("rec").text(folder)
+    read = R.read_lines(d.spikes.sparkSession, f"{folder}/rec=*", LINE_RANGE)
+    return read.withColumn("file", F.concat(F.regexp_extract("file", "rec%3D([^/]+)/", 1), F.lit(".txt")))
+
+
+def _ingest(d: Data, lines: Callable[[Data], DataFrame] = _export_lines) -> DataFrame:
+    parsed = R.stamp_recordings(R.parse_lines(lines(d)), d.meta)
     spikes, layout = R.finish_spikes(kept(parsed), d.meta)
     channels = layout.channels
     return channels.running_sum(channels.split(spikes, "s"), "nth", F.lit(1), "s", "seq").select(
@@ -218,6 +228,7 @@ def queries() -> dict[str, Query]:
         "meta_read": _query(_meta_file),
         "meta_tidy": _query(_tidy),
         "ingest_text": _query(_ingest),
+        "ingest_files": _query(lambda d: _ingest(d, _line_files)),
         "spikes_with_meta": _query(lambda d: C.stamp_metadata(
             d.spikes, d.meta, d.layout, ("genotype", "maxRecording", "region")).select(
             "fileName", "genotype", "maxRecording", "region", "channel_id", "seq", "s", "isi")),

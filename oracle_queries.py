@@ -538,7 +538,7 @@ kept AS (
         f"SELECT {RECORDING}, {_rounded(*SPIKE_FEATURES, *BURST_FEATURES, *NORM_COLUMNS)} FROM norm",
         kept, _bursts(2500, source="kept"), _spike_summary("kept"), BURST_SUMMARY, NORM)
     # What is written and read back is what was written.
-    for stored, as_written in (("meta_read", "meta_scan"), ("compile_stages", "compile_summaries"),
+    for stored, as_written in (("meta_read", "meta_scan"), ("ingest_files", "ingest_text"), ("compile_stages", "compile_summaries"),
                                ("stage_snapshot", "spikes_labelled"), ("summary_export", "bi_summary")):
         out[stored] = out[as_written]
     zeros = ", ".join(f"CAST(0 AS {'BIGINT' if n in INTEGERS else 'DOUBLE'}) AS {n}" for n in BURST_FEATURES)
