@@ -246,6 +246,43 @@ def test_search(docs, none):
     assert search.search(none, queries).count() == 0 and search.search(docs, none).count() == 0
 
 
+def test_search_reads_long_lists_by_their_bounds(monkeypatch):
+    """Queries of a block share the bounds of long lists, whose postings are not read; every size of blocks and bounds gives the same."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(3000)]
+    often = 1 / np.arange(1, 3001)
+    docs = [(k, " ".join(rng.choice(words, rng.integers(1, 120), p=often / often.sum()))) for k in range(600)]
+    docs += [(600 + k, docs[7][1]) for k in range(30)] + [(630, "alone here"), (None, "w0 w1 w2")]
+    asked = docs[::20] + [(630, "alone here"), (631, "nowhere")]
+    want = plain.bm25(docs, asked)
+    bags = [search.terms_of(text.encode()) for _, text in docs]
+    halves = [search.build_shard([i for i, _ in docs[k::2]], bags[k::2]) for k in (0, 1)]
+    mean = sum(n for *_, n in bags) / len(bags)
+    hashes, n = np.unique(np.concatenate([h for h, _, _ in bags]), return_counts=True)
+    idf = np.log(1 + (len(bags) - n + 0.5) / (n + 0.5))
+    queries_ = [search.terms_of(text.encode())[0] for _, text in asked]
+    places = [np.searchsorted(hashes, q[np.isin(q, hashes)]) for q in queries_]
+    start = np.append(0, np.cumsum([len(p) for p in places]))
+    block = {"query_id": np.array([i for i, _ in asked]), "null": np.zeros(len(asked), bool), "query_key": np.arange(len(asked)), "start": start,
+             "words": np.concatenate(places).astype(np.int32), "hashes": hashes, "idf": idf}
+    monkeypatch.setattr(search, "_read", lambda k: halves[int(k)])
+    read, spread = [], search._spread
+    monkeypatch.setattr(search, "_spread", lambda starts, lengths: read.append(int(lengths.sum())) or spread(starts, lengths))
+    whole = sum(int(n[p].sum()) for p in places)
+    for settings in ({}, {"BLOCK_BITS": 3}, {"CELLS": 900}, {"CELLS": 0}, {"FEW": 1}, {"FEW": 10**9}, {"PRODUCT": 1, "LONG": 10**6}, {"LONG": 1}):
+        with monkeypatch.context() as changed:
+            for name, value in settings.items():
+                changed.setattr(search, name, value)
+            read.clear()
+            found = search._answer(block, ["0", "1"], mean, 10).to_pylist()
+        if not settings:
+            assert sum(read) < whole / 2
+        got = {}
+        for r in sorted(found, key=lambda r: (r["query_id"], -r["score"], r["doc_id"] is None, r["doc_id"] or 0)):
+            got.setdefault(r["query_id"], []).append((round(r["score"], 7), r["doc_id"]))
+        assert {q: own[:10] for q, own in got.items()} == want, settings
+
+
 def test_cotraining(spark, docs, none):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(3, 20)] + [(None, 1, 0), (5, None, 0), (4, 1, 0), (99, 7, 0)], "doc_id long, quality int, toxic int")
     rows = cotrain.score(docs, labels).collect()
