@@ -283,6 +283,41 @@ def test_search_reads_long_lists_by_their_bounds(monkeypatch):
         assert {q: own[:10] for q, own in got.items()} == want, settings
 
 
+def test_search_bounds_queries_of_like_words_together(monkeypatch):
+    """Queries of one vocabulary get no product with the frequent words of another, and results stay those of plain BM25."""
+    rng = np.random.default_rng(4)
+    often = 1 / np.arange(1, 801)
+    docs = [(k, " ".join(f"{'ab'[k % 2]}{w}" for w in rng.choice(800, rng.integers(20, 90), p=often / often.sum()))) for k in range(600)]
+    asked = docs[:240]
+    bags = [search.terms_of(text.encode()) for _, text in docs]
+    mean = sum(n for *_, n in bags) / len(bags)
+    hashes, n = np.unique(np.concatenate([h for h, _, _ in bags]), return_counts=True)
+    places = [np.searchsorted(hashes, search.terms_of(text.encode())[0]) for _, text in asked]
+    block = {"query_id": np.array([i for i, _ in asked]), "null": np.zeros(len(asked), bool), "query_key": np.arange(len(asked)),
+             "start": np.append(0, np.cumsum([len(p) for p in places])), "words": np.concatenate(places).astype(np.int32),
+             "hashes": hashes, "idf": np.log(1 + (len(bags) - n + 0.5) / (n + 0.5))}
+    monkeypatch.setattr(search, "_read", lambda _: search.build_shard([i for i, _ in docs], bags))
+    monkeypatch.setattr(search, "PRODUCT", 130)
+    rows, lists = [], search.Shard._lists
+    monkeypatch.setattr(search.Shard, "_lists", lambda self, part: [out := lists(self, part), rows.append((len(out[2]), len(self.maxima)))][0])
+    found = search._answer(block, ["0"], mean, 10).to_pylist()
+    assert len(rows) == 2 and all(0 < own <= whole * 0.6 for own, whole in rows)
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], -r["score"], r["doc_id"])):
+        got.setdefault(r["query_id"], []).append((round(r["score"], 7), r["doc_id"]))
+    assert got == plain.bm25(docs, asked)
+
+
+def test_search_units():
+    """Long rows of shards for each block of queries, and units enough for the cores."""
+    for queries_, shards, cores in ((12821, 32, 6), (150_000, 375, 6), (50, 8, 6), (0, 0, 6), (1, 1, 64), (750_000, 1900, 200)):
+        blocks, groups = search._units(queries_, 370 * queries_, shards, cores)
+        assert blocks >= 1 and groups >= 1 and blocks * search.QUERY_BLOCK >= queries_ and groups * search.SHARD_GROUP >= shards
+        assert groups <= max(1, shards) and blocks <= max(1, queries_)
+        if queries_ > 10_000:
+            assert blocks * groups >= 2 * cores and groups <= max(3, -(-shards // search.SHARD_GROUP))
+
+
 def test_cotraining(spark, docs, none):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(3, 20)] + [(None, 1, 0), (5, None, 0), (4, 1, 0), (99, 7, 0)], "doc_id long, quality int, toxic int")
     rows = cotrain.score(docs, labels).collect()
